@@ -202,7 +202,7 @@ def cluster_one(
         "success",
         time.perf_counter() - started,
         _text(best.params),
-        {**scores, "silhouette": _silhouette(scores)},
+        scores,
         pipeline=PipelineModel(stages=stages),
         charts=charts,
         search=search,

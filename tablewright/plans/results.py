@@ -13,6 +13,8 @@ from tablewright.types import TaskConfig
 # The metric that decides, and whether less or more of it wins.
 PRIMARY = {"regression": "rmse", "classification": "f1", "clustering": "silhouette"}
 LESS_WINS = {"rmse"}
+# Large clusterings are scored over squared distances; a run uses one of the two throughout.
+STAND_INS = {"silhouette": "silhouette_sq"}
 
 RESULT_SCHEMA = (
     "position int, key string, display_name string, status string, duration_seconds double, "
@@ -96,7 +98,9 @@ class Run:
 
 def mark_best(results: DataFrame, metric: str) -> DataFrame:
     """Add ``score`` and ``is_best``: the best successful model, the first registered on a tie."""
-    score = F.when(F.col("status") == "success", F.try_element_at("metrics", F.lit(metric)))
+    names = [metric, STAND_INS[metric]] if metric in STAND_INS else [metric]
+    value = F.coalesce(*[F.try_element_at("metrics", F.lit(name)) for name in names])
+    score = F.when(F.col("status") == "success", value)
     signed = F.col("score") if metric in LESS_WINS else -F.col("score")
     # One row per registered model: a handful.
     order = Window.partitionBy(F.col("score").isNotNull()).orderBy(signed, "position")
