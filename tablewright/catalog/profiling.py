@@ -210,6 +210,15 @@ def _(spark, folder):
     return ops.histograms(table(spark, folder, "lineitem").select(*MEASURED))
 
 
+SPARSE_SQL = "(select case when l_linenumber <> 3 then l_extendedprice end as price from lineitem)"
+
+
+@query("histogram_missing", equal_width_sql(SPARSE_SQL, ["price"]))
+def _(spark, folder):
+    price = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice"))
+    return ops.histograms(table(spark, folder, "lineitem").select(price.alias("price")))
+
+
 @query(
     "bin_labels",
     f"""select "column", bin, case when bin_start = bin_end then a else a || '–' || b end as label,

@@ -219,7 +219,8 @@ def _bin_of(value: Column, lo: float, step: float, bins: int) -> Column:
     guess = F.least(F.floor((value - low) / width), F.lit(bins - 1)).cast("int")
     down = F.when(value < low + guess * width, guess - 1).otherwise(guess)
     up = F.when((down < bins - 1) & (value >= low + (down + 1) * width), down + 1).otherwise(down)
-    return up + 1
+    # least() passes over NULL, so a missing value has to be left out by hand.
+    return F.when(value.isNotNull(), up + 1)
 
 
 def identifier_columns(profile: DataFrame) -> DataFrame:

@@ -261,6 +261,22 @@ def _exportable(fitted: PipelineModel, config: TaskConfig, labels: list) -> Pipe
     return PipelineModel(stages=[*fitted.stages, last])
 
 
+def fit_one(
+    df: DataFrame, config: TaskConfig, key: str, params: dict | None = None
+) -> PipelineModel:
+    """One registered model on all clean rows, without a search; ready for ``score``."""
+    numeric, categorical = check_config(df, config)
+    _raise_all(target_issues(df, config) if config.task == REGRESSION else [])
+    spec = next(s for s in REGISTRY[config.task] if s.key == key)
+    cleaned = clean(df, config)
+    labels = class_labels(cleaned, config.target) if config.task == CLASSIFICATION else []
+    estimator = spec.make(len(labels))
+    chosen = params or spec.combinations()[0]
+    pipeline = Pipeline(stages=[*feature_stages(numeric, categorical, config.scaler), estimator])
+    fitted = pipeline.fit(with_label(cleaned, config, labels), spec.param_map(estimator, chosen))
+    return _exportable(fitted, config, labels)
+
+
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Raw rows plus ``prediction``; works on batches and on streams alike."""
     internal = {FEATURES, PREDICTION, "_raw", "_probability"}
