@@ -101,8 +101,9 @@ _BOOSTED = {"n_estimators": "maxIter", "max_depth": "maxDepth"}
 
 def _boosted_classifier(n_classes: int) -> Estimator:
     booster = GBTClassifier(stepSize=0.3, seed=SEED, **_COLUMNS)
+    booster = booster.setRawPredictionCol(RAW).setProbabilityCol(PROBABILITY)
     if n_classes == 2:
-        return booster.setRawPredictionCol(RAW).setProbabilityCol(PROBABILITY)
+        return booster
     return OneVsRest(classifier=booster, rawPredictionCol=RAW, **_COLUMNS)
 
 
