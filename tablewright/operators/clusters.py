@@ -80,6 +80,33 @@ def distance_sums(labelled: DataFrame, n: int) -> DataFrame:
     return parts.groupBy("id", "label", "w", "other").agg(F.sum("dist").alias("dist"))
 
 
+def cluster_distance_sums(labelled: DataFrame, n: int) -> DataFrame:
+    """(label, other, total): summed distance over all pairs of rows of two clusters."""
+
+    def members(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        labels, codes = np.unique(side["label"].to_numpy(), return_inverse=True)
+        weights = np.zeros((len(side), len(labels)))
+        weights[np.arange(len(side)), codes] = side["w"].to_numpy()
+        return labels, weights
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame):
+        dist = distances(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()))
+        (first, wa), (second, wb) = members(a), members(b)
+        total = (wa.T @ dist @ wb).ravel()
+        left, right = np.repeat(first, len(second)), np.tile(second, len(first))
+        yield pd.DataFrame({"label": left, "other": right, "total": total})
+        yield pd.DataFrame({"label": right, "other": left, "total": total})
+
+    parts = over_block_pairs(
+        labelled.select("id", "x", "w", "label"),
+        "id",
+        n,
+        compare,
+        "label bigint, other bigint, total double",
+    )
+    return parts.groupBy("label", "other").agg(F.sum("total").alias("total"))
+
+
 def silhouette_points(labelled: DataFrame, n: int) -> DataFrame:
     """(id, label, w, silhouette) from all Euclidean distances; members of singletons get 0."""
     real = labelled.where(F.col("label") != NOISE)

@@ -17,7 +17,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.operators.clusters import MAX_EXACT_POINTS, centroids, distance_sums
+from tablewright.functions.storage import cut_lineage
+from tablewright.operators.clusters import MAX_EXACT_POINTS, centroids, cluster_distance_sums
 from tablewright.operators.points import distances
 from tablewright.types import SEED
 
@@ -53,6 +54,7 @@ def micro_clusters(points: DataFrame, n: int, m: int = MAX_MICRO) -> MicroCluste
         labelled = model.transform(vectors).select(
             "id", "x", "w", F.col("_p").cast("bigint").alias("label")
         )
+    labelled = cut_lineage(labelled)
     rows = centroids(labelled).orderBy("label").collect()
     labels = [r["label"] for r in rows]
     sizes = np.array([float(r["size"]) for r in rows])
@@ -60,10 +62,8 @@ def micro_clusters(points: DataFrame, n: int, m: int = MAX_MICRO) -> MicroCluste
     between = distances(centres, centres)
     if n <= MAX_EXACT_POINTS:
         at = {label: i for i, label in enumerate(labels)}
-        sums = distance_sums(labelled, n).groupBy("label", "other").agg(
-            F.sum(F.col("dist") * F.col("w")).alias("total")
-        )
-        for r in sums.collect():
+        # At most m x m rows.
+        for r in cluster_distance_sums(labelled, n).collect():
             i, j = at[r["label"]], at[r["other"]]
             between[i, j] = r["total"] / (sizes[i] * sizes[j])
     return MicroClusters(labelled, labels, sizes, centres, between)

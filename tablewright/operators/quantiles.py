@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,7 +134,11 @@ def _pick(df: DataFrame, brackets: list[Bracket]) -> dict[tuple[str, float], tup
             ]
         )
     )
-    counts = df.select(F.explode(found).alias("c")).groupBy("c.id", "c.v").count()
+    # Few rows lie in any bracket; the rest is dropped before anything is built for it.
+    near = reduce(
+        lambda a, b: a | b, [col(b.column).cast("double").between(b.lo, b.hi) for b in brackets]
+    )
+    counts = df.where(near).select(F.explode(found).alias("c")).groupBy("c.id", "c.v").count()
     ordered = Window.partitionBy("id").orderBy("v")
     up_to = F.sum("count").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("up_to", up_to)

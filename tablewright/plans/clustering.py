@@ -110,7 +110,8 @@ def _fit_dbscan(points: DataFrame, n: int, combos: list[dict[str, Any]]):
             if eps not in grids:
                 grids = {eps: build_grid(points, eps)}
             found = dbscan(points, eps, params["min_samples"], grids[eps])
-            yield Fitted(params, points.select("id", "x", "w").join(found.drop("is_core"), "id"))
+            labelled = points.select("id", "x", "w").join(found.drop("is_core"), "id")
+            yield Fitted(params, cut_lineage(labelled))
         except PySparkException as exc:
             yield params, exc
 
