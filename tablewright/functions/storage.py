@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablewright.types import TablewrightError
 
@@ -37,3 +38,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, ends the plan's growth."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def join_small(left: DataFrame, right: DataFrame, on: str, max_rows: int = 100_000) -> DataFrame:
+    """Inner join with a side that is usually tiny, so that a frequent key needs no shuffle.
+
+    The right side is written out and counted first; above ``max_rows`` it is joined by shuffle,
+    where adaptive execution splits skewed keys.
+    """
+    right = cut_lineage(right)
+    if right.count() <= max_rows:
+        right = F.broadcast(right)
+    return left.join(right, on)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.expressions import ratio
+from tablewright.functions.storage import join_small
 from tablewright.operators.points import distances, over_block_pairs, squared_distance
 from tablewright.types import LIMITS
 
@@ -149,7 +150,7 @@ def centroids(labelled: DataFrame) -> DataFrame:
     )
     away = F.sqrt(squared_distance(F.col("x"), F.col("centroid")))
     return (
-        real.join(centres, "label")
+        join_small(real, centres, "label")
         .groupBy("label")
         .agg(
             F.first("size").alias("size"),

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.storage import cut_lineage
+from tablewright.functions.storage import cut_lineage, join_small
 from tablewright.operators.clusters import NOISE
 from tablewright.operators.components import connected_components
 from tablewright.operators.points import dense_numbers, squared_distance
@@ -178,7 +178,9 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, grid: Grid | None =
     components = _link_cells(grid, core, groups, reach2)
     numbered = dense_numbers(components.select("root").distinct(), "root", "label")
     labels = cut_lineage(
-        groups.join(components, "v").join(numbered, "root").select("cell", "label", "last_salt")
+        join_small(groups.join(components, "v"), numbered, "root").select(
+            "cell", "label", "last_salt"
+        )
     )
     cores = core.join(labels.drop("last_salt"), "cell").select("id", "is_core", "label")
     rest = marked.where(~F.col("is_core"))

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +84,9 @@ def test_nothing_to_save_without_a_winner(spark, saved):
 
 def test_clusterings_label_new_rows_only_if_they_can(spark, parts, tmp_path):
     config = TaskConfig("clustering", None, ["p_size", "p_retailprice"])
-    run = clustering.train(parts, config, models=clustering.CLUSTERERS[:2])
+    grids = {"n_clusters": [2]}, {"n_clusters": [2], "linkage": ["ward"]}
+    specs = [replace(s, grid=g) for s, g in zip(clustering.CLUSTERERS[:2], grids, strict=True)]
+    run = clustering.train(parts, config, models=specs)
     experiment_id = save_experiment(run, str(tmp_path), "part")
     rows = parts.select("p_size", "p_retailprice")
     scored = score_rows(spark, str(tmp_path), experiment_id, "kmeans", rows)
