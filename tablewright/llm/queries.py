@@ -9,9 +9,11 @@ from tablewright.llm.decontaminate import find_contamination
 from tablewright.llm.exact import find_exact_copies
 from tablewright.llm.language import fit_languages, predict_language
 from tablewright.llm.licenses import scan_licenses
+from tablewright.llm.lines import drop_repeated_lines
 from tablewright.llm.packing import pack
 from tablewright.llm.registry import query, table
 from tablewright.llm.secrets import counted, find_secrets, listed, train_secret_models
+from tablewright.llm.substrings import drop_repeated_passages
 from tablewright.llm.tokens import ids_crc32, read_token_files, write_token_files
 
 
@@ -19,6 +21,68 @@ def joined(column):
     return F.array_join(column, ",")
 
 
+LINES_SQL = """
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
+), bare AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM line
+), full_line AS (
+  SELECT doc_id, pos, bare, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM bare WHERE bare != ''
+), win AS (
+  SELECT doc_id, r, bare || chr(10) || lead(bare, 1) OVER d || chr(10) || lead(bare, 2) OVER d AS p
+  FROM full_line WINDOW d AS (PARTITION BY doc_id ORDER BY r)
+), later AS (
+  SELECT doc_id, r FROM win WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_id, r) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([r, r + 1, r + 2]) AS r FROM later
+), kept AS (
+  SELECT b.doc_id, count(f.r) AS n_lines, count(g.r) AS n_removed,
+         string_agg(CASE WHEN g.r IS NULL THEN line END, chr(10) ORDER BY b.pos) AS text
+  FROM bare b LEFT JOIN full_line f USING (doc_id, pos) LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.r = f.r
+  GROUP BY b.doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       sha256(CASE WHEN n_removed > 0 AND n_removed = n_lines THEN '' ELSE coalesce(kept.text, '') END) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op1_repeated_lines", LINES_SQL)
+def op1_repeated_lines(spark, sf_dir):
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return found.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
+PASSAGES_SQL = """
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS p
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM doc)
+), first AS (
+  SELECT p, min(doc_id) AS f FROM win GROUP BY p
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS j FROM win JOIN first USING (p) WHERE f < doc_id
+), word AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM doc
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text
+  FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op3_repeated_passages", PASSAGES_SQL)
+def op3_repeated_passages(spark, sf_dir):
+    found = drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 _WORDS = "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 LEAKS_SQL = f"""
