@@ -10,6 +10,7 @@ from tablewright.llm.exact import find_exact_copies
 from tablewright.llm.language import fit_languages, predict_language
 from tablewright.llm.licenses import scan_licenses
 from tablewright.llm.lines import drop_repeated_lines
+from tablewright.llm.neardup import near_duplicates
 from tablewright.llm.packing import pack
 from tablewright.llm.registry import query, table
 from tablewright.llm.secrets import counted, find_secrets, listed, train_secret_models
@@ -184,3 +185,8 @@ def op9_secrets(spark, sf_dir):
         F.sha2(listed("base"), 256).alias("base_sha256"),
         listed("spans").alias("spans"),
     )
+
+
+@query("op10_near_duplicates")
+def op10_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
