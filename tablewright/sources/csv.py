@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+from collections import Counter
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,26 +26,66 @@ INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 REAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 INFINITE = r"^\s*[+-]?([iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])\s*$"
 
+# Spellings of one header (blanks around names) that are told apart before files count as different.
+_SPELLINGS = 100
+
 # Follows every line as one more field, to see how many fields came before it.
 _END = "\u0001end"
 
 
 def header_fields(line: str | None) -> list[str]:
-    """Column names of a header line, stripped; each fault has its own message."""
-    if line is None:
-        raise IngestError("The file is empty.")
-    line = line.removeprefix("﻿")
-    if not line.strip():
-        raise IngestError("The file has no header row.")
-    names = [name.strip() for name in next(csv.reader([line]))]
-    if any(not name for name in names):
-        raise IngestError("The header has an empty column name.")
-    repeated = sorted({name for name in names if names.count(name) > 1})
-    if repeated:
-        raise IngestError(f"The header repeats column names: {', '.join(repeated)}.")
+    """Column names of a header line, stripped. All faults of a header are reported together."""
+    names = [n.strip() for n in next(csv.reader([(line or "").removeprefix("\ufeff")]), [])]
+    tally = Counter(filter(None, names))
+    twice = sorted(n for n in tally if tally[n] > 1)
+    blank = not any(names) and len(names) <= 1
+    faults = {
+        "The file is empty.": line is None,
+        "The file has no header row.": line is not None and blank,
+        "The header has an empty column name.": not blank and "" in names,
+        f"The header repeats column names: {', '.join(twice)}.": bool(twice),
+    }
+    if any(faults.values()):
+        raise IngestError(" ".join(message for message, holds in faults.items() if holds))
     return names
 
 
+@dataclass(frozen=True)
+class _Look:
+    """What one pass over the lines of all files tells."""
+
+    names: list[str]
+    spanning: bool  # quotes that are closed on a later line
+
+
+def _look(text: DataFrame) -> _Look:
+    """Checks encoding and headers: every file must have the same columns in the same order."""
+    start = F.col("_metadata.file_block_start") == 0
+    lines = text.select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        # Inside a file's first block, numbers grow with the lines.
+        F.when(start, F.monotonically_increasing_id()).alias("at"),
+        F.regexp_count("value", F.lit('"')).alias("quotes"),
+    )
+    files = lines.groupBy("file").agg(
+        F.min_by("value", "at").alias("head"),
+        F.count_if(~F.is_valid_utf8("value")).alias("invalid"),
+        F.count_if(F.col("quotes") % 2 == 1).alias("odd"),
+        (F.sum("quotes") % 2 == 1).alias("unclosed"),
+    )
+    heads = files.groupBy("head").agg(
+        F.sum("invalid").alias("invalid"), F.sum("odd").alias("odd"), F.max("unclosed").alias("unclosed")
+    )
+    found = heads.orderBy("head").limit(_SPELLINGS + 1).collect()
+    if sum(r["invalid"] for r in found):
+        raise IngestError("The file is not valid UTF-8.")
+    spelled = [header_fields(r["head"]) for r in found] or [header_fields(None)]
+    if len(found) > _SPELLINGS or any(names != spelled[0] for names in spelled):
+        raise IngestError("The files' headers differ.")
+    return _Look(spelled[0], any(r["odd"] for r in found) and not any(r["unclosed"] for r in found))
+
+
 def audit_lines(lines: DataFrame, names: list[str]) -> DataFrame:
     """Parse raw lines (column ``value``) into one struct and say how each one fits.
 
@@ -62,7 +104,7 @@ def audit_lines(lines: DataFrame, names: list[str]) -> DataFrame:
         [F.coalesce(f.endswith("," + _END), F.lit(False)) for f in [*fields, F.col(f"fields.f{len(names)}")]],
     )
     state = (
-        F.when(~F.is_valid_utf8("value") | swallowed, "broken")
+        F.when(~F.is_valid_utf8("value") | swallowed | F.col("value").contains(_END), "broken")
         .when(fits, "ok")
         .when(short, "short")
         .otherwise("overlong")
@@ -122,31 +164,34 @@ def apply_types(texts: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool | None = None
 ) -> DataFrame:
     """A checked, typed table from comma-separated UTF-8 text with a header in every file.
 
-    Rows with too many fields, unclosed quotes or invalid bytes reject the input; short rows are
-    padded with missing values. ``schema`` replaces the inferred types. ``multiline`` allows line
-    breaks inside quotes, at the price of reading each file in one task.
+    Rows with too many fields, unclosed quotes or invalid bytes reject the input, and so do files whose
+    headers differ; short rows are padded with missing values. ``schema`` replaces the inferred types.
+    Files without line breaks inside quotes are split into many tasks; with them, each file is one task.
+    ``multiline`` says which it is, instead of a look at the quotes.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise IngestError("Only .csv files can be read as CSV.")
-    text = spark.read.text(path)
-    first = text.first()
     # Only the text source hands on bytes as they are.
-    if not text.where(~F.is_valid_utf8("value")).isEmpty():
-        raise IngestError("The file is not valid UTF-8.")
-    names = header_fields(first["value"] if first else None)
-    # Every line in one column, without the header of each file.
+    look = _look(spark.read.text(path))
+    names = look.names
+    # Every line in one column, without the header of each file. A line that holds the separator is
+    # malformed to the reader, which then hands it on whole.
     raw = (
         spark.read.option("header", True)
         .option("sep", "\u0002")
         .option("quote", "")
         .option("multiLine", False)
-        .schema("value string")
+        .option("columnNameOfCorruptRecord", "_bad")
+        .schema("value string, _bad string")
     )
-    lines = raw.csv(path) if not multiline else _records(spark, path, names)
+    if look.spanning if multiline is None else multiline:
+        lines = _records(spark, path, names)
+    else:
+        lines = raw.csv(path).select(F.coalesce("_bad", "value").alias("value"))
     audited = audit_lines(lines, names)
     counts = audited.agg(
         F.count(F.lit(1)).alias("rows"),

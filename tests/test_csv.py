@@ -83,3 +83,33 @@ def test_preview_and_column_table(spark):
     rows = preview(df, ["id"]).collect()
     assert len(rows) == 50 and rows[0]["t"] == "2024-01-02T03:04:05.678" and rows[0]["d"] == "2024-01-02"
     assert [r["kind"] for r in columns_frame(df).orderBy("ordinal").collect()] == ["numeric", "categorical", "categorical"]
+
+
+def test_files_must_agree_on_their_columns(spark, write, tmp_path):
+    (tmp_path / "same.csv").mkdir()
+    write("a, b\n1,2\n", "same.csv/x.csv")
+    write("\ufeffa,b\n20,10\n", "same.csv/y.csv")
+    got = read_csv(spark, str(tmp_path / "same.csv"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (20, 10)]
+    (tmp_path / "other.csv").mkdir()
+    write("a,b\n1,2\n", "other.csv/x.csv")
+    write("b,a\n20,10\n", "other.csv/y.csv")
+    with pytest.raises(IngestError, match="headers differ"):
+        read_csv(spark, str(tmp_path / "other.csv"))
+
+
+def test_control_characters_stay_in_their_cells(spark, write):
+    got = read_csv(spark, write("a,b\nfoo\x02bar,1\nx,2\n")).orderBy("b").collect()
+    assert [tuple(r) for r in got] == [("foo\x02bar", 1), ("x", 2)]
+    with pytest.raises(IngestError, match="1 rows cannot be parsed"):
+        read_csv(spark, write("a,b\nx,\x01end\n", "u.csv"))
+
+
+def test_line_breaks_inside_quotes_need_no_option(spark, write):
+    got = read_csv(spark, write('a,b\n"one\ntwo",1\nx,2\n')).orderBy("b").collect()
+    assert [tuple(r) for r in got] == [("one\ntwo", 1), ("x", 2)]
+
+
+def test_a_header_reports_all_its_faults(spark, write):
+    with pytest.raises(IngestError, match="empty column name.*repeats column names: a"):
+        read_csv(spark, write("a,,a\n1,2,3\n"))
