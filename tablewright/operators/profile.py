@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.expressions import (
+    all_present,
     col,
     finite,
     grouping_key,
@@ -367,12 +368,18 @@ def _wide_correlation(df: DataFrame, names: list[str]) -> DataFrame:
 
 def covariance(df: DataFrame, names: list[str]) -> DataFrame:
     """Sample covariance of the named columns over complete rows, long form."""
-    complete = df.na.drop(subset=names)
-    aggs, cells = [], []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            aggs.append(F.covar_samp(col(a).cast("double"), col(b).cast("double")).alias(f"v{i}_{j}"))
-            cells += [F.lit(a), F.lit(b), F.col(f"v{i}_{j}")]
-    return complete.agg(*aggs).select(
+    places = range(len(names))
+    aggs = [
+        F.covar_samp(col(names[i]).cast("double"), col(names[j]).cast("double")).alias(f"v{i}_{j}")
+        for i in places
+        for j in places[i:]
+    ]
+    cells = [
+        cell
+        for i in places
+        for j in places
+        for cell in (F.lit(names[i]), F.lit(names[j]), F.col(f"v{min(i, j)}_{max(i, j)}"))
+    ]
+    return df.where(all_present(names)).agg(*aggs).select(
         F.stack(F.lit(len(names) ** 2), *cells).alias("column_x", "column_y", "covariance")
     )

@@ -16,9 +16,6 @@ from tablewright.operators.clean import (
 from tablewright.operators.values import is_missing, value_counts
 from tablewright.types import CLASSIFICATION, LIMITS, REGRESSION, TaskConfig
 
-# More final feature columns than this are counted but not listed in the one-row preview.
-MAX_LISTED = 10_000
-
 SCHEMA = (
     "task string, target string, features array<string>, original_rows bigint, "
     "removed_missing_rows bigint, removed_duplicate_rows bigint, final_rows bigint, "
@@ -60,22 +57,22 @@ def prep_preview(df: DataFrame, config: TaskConfig) -> DataFrame:
     check_config(df, config)
     counts = row_accounting(df, config).first()
     original, final = counts["original_rows"], counts["final_rows"]
-    removed = original - final
-    warnings = []
-    if original and removed / original > LIMITS.row_loss_ratio:
-        warnings.append(
-            f"Cleaning removes {removed} of {original} rows ({removed / original:.0%})."
-        )
-    ready = final >= LIMITS.min_rows
-    if not ready:
-        warnings.append(few_rows_issue(final))
-    if config.task == REGRESSION or (config.task == CLASSIFICATION and final > 0):
-        issues = target_issues(df, config)
-        warnings += issues
-        ready = ready and not issues
-    names = final_features(df, config)
-    listed = names.orderBy("position", "level").limit(MAX_LISTED + 1).collect() if final else []
-    whole = len(listed) <= MAX_LISTED
+    lost = original - final
+    supervised = config.task == REGRESSION or (config.task == CLASSIFICATION and final > 0)
+    issues = target_issues(df, config) if supervised else []
+    # Messages, and whether each of them stands in the way of training.
+    notes = [
+        (
+            lost > LIMITS.row_loss_ratio * original,
+            f"Cleaning removes {lost} of {original} rows ({lost / max(original, 1):.0%}).",
+            False,
+        ),
+        (final < LIMITS.min_rows, few_rows_issue(final), True),
+        *((True, issue, True) for issue in issues),
+    ]
+    warnings = [message for holds, message, _ in notes if holds]
+    ready = not any(holds and stops for holds, _, stops in notes)
+    listed = final_features(df, config) if final else None
     row = (
         config.task,
         config.target,
@@ -84,9 +81,21 @@ def prep_preview(df: DataFrame, config: TaskConfig) -> DataFrame:
         counts["removed_missing_rows"],
         counts["removed_duplicate_rows"],
         final,
-        len(listed) if whole else names.count(),
-        [r["name"] for r in listed] if whole else None,
+        0,
+        [],
         ready,
         warnings,
     )
-    return df.sparkSession.createDataFrame([row], SCHEMA)
+    known = df.sparkSession.createDataFrame([row], SCHEMA)
+    if listed is None:
+        return known
+    # The names meet in the one row by an aggregate; the driver sees none of them.
+    ordered = F.sort_array(F.collect_list(F.struct("position", "level", "name")))
+    names = listed.agg(F.transform(ordered, lambda f: f["name"]).alias("names"))
+    return known.join(names, F.lit(True)).select(
+        *known.columns[:7],
+        F.size("names").cast("bigint").alias("feature_count"),
+        F.col("names").alias("final_feature_columns"),
+        "ready_to_train",
+        "warnings",
+    )

@@ -2,6 +2,7 @@ import pytest
 
 from tablewright.operators.clean import check_config, clean, row_accounting, target_issues
 from tablewright.plans.preview import final_features, prep_preview
+from tablewright.plans.supervised import fit_one
 from tablewright.types import ConfigError, TaskConfig
 
 
@@ -80,3 +81,20 @@ def test_target_rules(spark):
     thin = spark.createDataFrame([(i, i % 15) for i in range(45)], "a bigint, y bigint")
     issue = target_issues(thin, TaskConfig("classification", "y", ["a"]))[0]
     assert "and 5 more" in issue and len(issue) < 400
+
+
+def test_names_with_dots(spark):
+    rows = [(float(i), float(i % 7), "x" if i % 2 else "y") for i in range(60)] + [(None, 1.0, "x")]
+    df = spark.createDataFrame(rows, "`a.b` double, `y.z` double, `k.k` string")
+    config = TaskConfig("regression", "y.z", ["a.b", "k.k"], drop_duplicates=False)
+    assert clean(df, config).count() == 60
+    row = prep_preview(df, config).first()
+    assert row["final_rows"] == 60 and row["final_feature_columns"] == ["a.b", "k.k_x", "k.k_y"]
+    assert row["ready_to_train"] and row["feature_count"] == 3
+
+
+def test_too_many_classes_stop_a_single_fit(spark):
+    df = spark.range(500).selectExpr("double(id) as a", "id % 25 as c")
+    config = TaskConfig("classification", "c", ["a"], drop_duplicates=False)
+    with pytest.raises(ConfigError, match="25 distinct values"):
+        fit_one(df, config, "logistic_regression")
