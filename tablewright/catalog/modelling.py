@@ -184,6 +184,34 @@ def _(spark, folder):
     return rounded(scored.select("l_orderkey", "l_linenumber", "prediction"), 5)
 
 
+@query(
+    "cv_linear_score",
+    """with r as (select p_partkey::double as x, p_retailprice as y, count(*) over () as n,
+        row_number() over (order by md5(concat_ws('|', '42', p_partkey::varchar))) as rk from part),
+    s as (select *, rk <= ceil(round(0.2 * n, 9)) as is_test from r),
+    train as (select x, y, row_number() over (order by rk) as k, count(*) over () as m from s where not is_test),
+    f as (select x, y, case when k <= m // 3 + (m % 3 >= 1)::int then 0
+        when k <= 2 * (m // 3) + least(m % 3, 2) then 1 else 2 end as fold from train),
+    lines as (select w.fold, regr_slope(y, x) as a, regr_intercept(y, x) as b
+        from f join (select distinct fold from f) w on f.fold <> w.fold group by w.fold),
+    errors as (select f.fold, sqrt(avg((y - b - a * x) ** 2)) as rmse from f join lines using (fold) group by f.fold),
+    whole as (select regr_slope(y, x) as a, regr_intercept(y, x) as b from train)
+    select (select count(*) from train)::bigint as train_rows, (select count(*) from s where is_test)::bigint as test_rows,
+      round((select avg(rmse) from errors), 6) as mean_score,
+      round((select sqrt(avg((y - b - a * x) ** 2)) from s, whole where is_test), 6) as test_rmse""",
+)
+def _(spark, folder):
+    config = TaskConfig("regression", "p_retailprice", ["p_partkey"], drop_duplicates=False, scaler="none")
+    line = [s for s in REGISTRY["regression"] if s.key == "linear_regression"]
+    run = supervised.train(table(spark, folder, "part"), config, key=["p_partkey"], models=line)
+    outcome = run.outcomes[0]
+    mean_score = next(score for params, score in outcome.search if params["fit_intercept"] == "True")
+    row = (run.train_rows, run.test_rows, float(mean_score), float(outcome.metrics["rmse"]))
+    return rounded(
+        spark.createDataFrame([row], "train_rows bigint, test_rows bigint, mean_score double, test_rmse double"), 6
+    )
+
+
 PRICE = TaskConfig("regression", "p_retailprice", ["p_size", "p_brand", "p_type"])
 QUALITY = TaskConfig("classification", "quality", ["n_chars", "lang", "source"])
 BALANCE = TaskConfig("clustering", None, ["c_acctbal", "c_nationkey"])
@@ -355,6 +383,29 @@ def _(spark, folder):
     return rounded(davies_bouldin(points, n_clusters), 8)
 
 
+@query(
+    "pca_two_columns",
+    """with p as (select c_custkey as id, c_acctbal / 1000 as u, c_nationkey::double as v from customer),
+    m as (select avg(u) as mu, avg(v) as mv, var_samp(u) as a, var_samp(v) as c, covar_samp(u, v) as b from p),
+    e as (select *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b ** 2) as top from m),
+    n as (select *, sqrt(b ** 2 + (top - a) ** 2) as size from e),
+    axes as (select mu, mv, b / size as s, (top - a) / size as t from n),
+    signed as (select mu, mv, s * sign(case when abs(s) >= abs(t) then s else t end) as s1,
+      t * sign(case when abs(s) >= abs(t) then s else t end) as t1,
+      t * sign(case when abs(t) >= abs(s) then t else -s end) as s2,
+      -s * sign(case when abs(t) >= abs(s) then t else -s end) as t2 from axes)
+    select id, round((u - mu) * s1 + (v - mv) * t1, 6) as x, round((u - mu) * s2 + (v - mv) * t2, 6) as y
+    from p, signed order by id limit 500""",
+)
+def _(spark, folder):
+    points = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("x"),
+        F.lit(1).cast("bigint").alias("w"),
+    )
+    return rounded(projection(points), 6)
+
+
 @query("pca_projection")
 def _(spark, folder):
     return projection(embedded(spark, folder))

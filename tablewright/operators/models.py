@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -21,7 +20,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 
 from tablewright.operators.prepare import FEATURES
-from tablewright.types import CLASSIFICATION, REGRESSION, SEED
+from tablewright.types import CLASSIFICATION, REGRESSION, SEED, grid_points
 
 LABEL = "_label"
 PREDICTION = "_prediction"
@@ -78,11 +77,7 @@ class ModelSpec:
 
     def combinations(self) -> list[dict[str, Any]]:
         """Every grid point, parameters in alphabetical order, the last varying fastest."""
-        names = sorted(self.grid)
-        return [
-            dict(zip(names, values, strict=True))
-            for values in itertools.product(*[self.grid[n] for n in names])
-        ]
+        return grid_points(self.grid, sorted(self.grid))
 
     def param_map(self, estimator: Estimator, point: dict[str, Any]) -> dict[Param, Any]:
         inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator

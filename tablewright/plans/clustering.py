@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,7 +28,7 @@ from tablewright.operators.hierarchy import labels_for, merge, micro_clusters
 from tablewright.operators.points import points_of
 from tablewright.operators.prepare import FEATURES, fit_features
 from tablewright.plans.results import ModelOutcome, Run
-from tablewright.types import CLUSTERING, LIMITS, SEED, ConfigError, TaskConfig
+from tablewright.types import CLUSTERING, LIMITS, SEED, ConfigError, TaskConfig, grid_points
 
 INVALID = (
     "No combination of parameters gave a valid clustering: it takes at least two clusters, fewer "
@@ -57,8 +56,7 @@ class ClusterSpec:
 
     def combinations(self) -> list[dict[str, Any]]:
         """Grid points in the order the grid is written, the last parameter varying fastest."""
-        names = list(self.grid)
-        return [dict(zip(names, v, strict=True)) for v in itertools.product(*self.grid.values())]
+        return grid_points(self.grid, list(self.grid))
 
 
 def _fit_kmeans(points: DataFrame, n: int, combos: list[dict[str, Any]]):
@@ -180,7 +178,7 @@ def cluster_one(
             if value is not None and (best is None or value > _silhouette(scores)):
                 best, scores = tried, metrics
     except (PySparkException, ValueError) as exc:
-        best, warning = None, str(exc)[:400]
+        best, warning = None, str(exc)
     else:
         warning = None if best else INVALID
     seconds = time.perf_counter() - started

@@ -106,7 +106,10 @@ def find_experiment(spark: SparkSession, base: str, experiment_id: str) -> DataF
     if re.match(ID_PATTERN, experiment_id):
         try:
             table = spark.read.parquet(f"{base.rstrip('/')}/experiments")
-        except PySparkException:
+        except PySparkException as missing:
+            # Anything but a folder that does not exist is an error of its own.
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             table = None
         if table is not None:
             found = table.where(F.col("experiment_id") == experiment_id)

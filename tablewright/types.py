@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -100,3 +101,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def categorical_columns(df: DataFrame) -> list[str]:
     return split_kinds(df)[1]
+
+
+def grid_points(grid: dict[str, list], names: list[str]) -> list[dict]:
+    """Every choice of one value per parameter; of ``names``, the last varies fastest.
+
+    A choice's number, written with one digit per parameter, says which values it takes.
+    """
+    total = math.prod(len(grid[n]) for n in names)
+    points = []
+    for number in range(total):
+        digits = {}
+        for name in reversed(names):
+            number, digit = divmod(number, len(grid[name]))
+            digits[name] = grid[name][digit]
+        points.append({name: digits[name] for name in names})
+    return points
