@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -194,8 +194,6 @@ def score_clustering(
     counts = cluster_counts(labelled).first()
     if not counts["is_valid"]:
         return None
-    if counts["row_count"] - counts["noise_points"] < 2:
-        return None
     name, value = silhouette(labelled, n, max_exact)
     scatter = davies_bouldin(labelled, counts["n_clusters"]).first()["davies_bouldin"]
     return {
@@ -212,25 +210,30 @@ def projection(points: DataFrame, limit: int = LIMITS.chart_points) -> DataFrame
     Components are fitted on all rows, centred, and signed so that their largest loading is
     positive. A single feature gives y = 0.
     """
-    vectors = points.select("id", "w", array_to_vector("x").alias("v"))
     row = points.agg(
         F.max(F.size("x")).alias("d"),
         Summarizer.mean(array_to_vector("x"), F.col("w").cast("double")).alias("mean"),
-        F.max("w").alias("copies"),
     ).first()
-    d = row["d"]
-    # Copies weigh in on the components as often as they occur.
-    weighted = vectors
-    if row["copies"] > 1:
-        piece = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("w") - 1) / 10_000))
-        pieces = vectors.withColumn("_p", F.explode(piece)).repartition("id", "_p")
-        weighted = pieces.withColumn(
-            "_c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("w") - F.col("_p") * 10_000, F.lit(10_000).cast("bigint"))))
-        )
-    model = PCA(k=min(2, d), inputCol="v", outputCol="p").fit(weighted)
-    axes = model.pc.toArray()
-    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])] < 0, -1.0, 1.0)
     mean = row["mean"].toArray()
+
+    def products(batches):
+        """Weighted products of all pairs of centred columns, one matrix per task."""
+        total = np.zeros((len(mean), len(mean)))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("x").to_pylist()) - mean
+                total += (x * batch.column("w").to_numpy()[:, None]).T @ x
+        i, j = np.triu_indices(len(mean))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    # Copies weigh in on the components as often as they occur. At most d x d rows come back.
+    spread = np.zeros((len(mean), len(mean)))
+    sums = points.select("x", "w").mapInArrow(products, "i bigint, j bigint, v double").groupBy("i", "j")
+    for r in sums.agg(F.sum("v").alias("v")).collect():
+        spread[r["i"], r["j"]] = spread[r["j"], r["i"]] = r["v"]
+    # Eigenvalues ascend.
+    axes = np.linalg.eigh(spread)[1][:, ::-1][:, : min(2, row["d"])]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])] < 0, -1.0, 1.0)
     first = points.select("id", "x").orderBy("id").limit(limit)
 
     def along(k: int):
