@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,13 +81,38 @@ def map_texts(
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: it is computed once and outlives executors."""
+    """The rows as a Parquet table in the shared folder, read back: it is computed once and outlives executors.
+
+    Spark drops the shuffle files of finished steps when the driver collects garbage, so this asks for it:
+    otherwise those of a whole plan of many steps stay on the disks until its end.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+class WordHashes(dict):
+    """64-bit hashes of words; a task remembers those of up to ``most`` words."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, split: Sequence[Sequence[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all texts' words behind each other, and the number of words of each text."""
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = map(self.__getitem__, itertools.chain.from_iterable(split))
+        return np.fromiter(words, np.uint64, int(sizes.sum())), sizes
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """The (written) table, marked for broadcast if it was counted to have at most ``rows`` rows."""
     return F.broadcast(df) if df.count() <= rows else df

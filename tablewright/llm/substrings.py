@@ -23,18 +23,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import column, maybe_broadcast, pieces, written
+from tablewright.llm.common import WordHashes, column, maybe_broadcast, pieces, written
 
 #: Rounds of pairs after the first round, of runs.
 ROUNDS = 2
 #: Words a task compresses at once; longer stretches are cut so that they overlap by a window.
 STRETCH = 1 << 19
 #: Anchors up to which their counted table is broadcast.
-BROADCAST_ROWS = 3_000_000
+BROADCAST_ROWS = 2_000_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -194,13 +193,6 @@ def spans_of(hashes: np.ndarray, sizes: np.ndarray, window: int):
     return out
 
 
-def _hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    split = [words_of(t) for t in texts]
-    sizes = np.array([len(s) for s in split], np.int64)
-    flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for s in split for w in s), np.uint64, int(sizes.sum()))
-    return flat, sizes
-
-
 def drop_repeated_passages(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 13
 ) -> DataFrame:
@@ -222,10 +214,17 @@ def drop_repeated_passages(
     )
     some = rows.where(F.col("t").isNotNull()).select("o", "h", "t")
 
+    # A text that an earlier document has as a whole needs no further look.
+    keys = written(some.select("o", "h", F.unhex(F.md5("t")).alias("x")), "passage-texts")
+    firsts = keys.groupBy("x").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("x", "a")
+    copies = written(keys.join(firsts, "x").where("o > a").select("o", "h").distinct(), "passage-copies")
+    some = some.join(maybe_broadcast(copies, BROADCAST_ROWS), ["o", "h"], "left_anti")
+
     def names(batches):
+        hashes = WordHashes()
         for batch in batches:
             for piece in pieces(batch, "t"):
-                found = spans_of(*_hashes(piece.column("t").to_pylist()), window)
+                found = spans_of(*hashes.of(list(map(words_of, piece.column("t").to_pylist()))), window)
                 ids = piece.column("o").to_numpy()
                 for name, _, owner, *_ in found:
                     # The smallest and largest id of each name in the batch.
@@ -252,10 +251,11 @@ def drop_repeated_passages(
     shared = maybe_broadcast(written(shared, "passage-anchors"), BROADCAST_ROWS)
 
     def spans(batches):
+        hashes = WordHashes()
         for batch in batches:
             for piece in pieces(batch, "t"):
                 for name, content, owner, first, count, each in spans_of(
-                    *_hashes(piece.column("t").to_pylist()), window
+                    *hashes.of(list(map(words_of, piece.column("t").to_pylist()))), window
                 ):
                     at = pa.array(owner)
                     yield pa.RecordBatch.from_arrays(
@@ -272,18 +272,20 @@ def drop_repeated_passages(
                     )
 
     schema = "g bigint, s bigint, o bigint, h int, i int, m int, w binary"
-    spans_ = written(some.mapInArrow(spans, schema).join(shared, "g", "left_semi").select(
-        "g", "s", "o", "h", "i", "m", "w"), "passage-spans")
+    found = some.mapInArrow(spans, schema).join(shared, "g", "left_semi")
+    found = written(found.select("g", "s", "o", "h", "i", "m", "w"), "passage-spans")
 
-    # A span in a later document than its first goes in whole.
-    kinds = spans_.groupBy("g", "s", "m").agg(F.min("o").alias("first"), F.min("w").alias("w"))
-    kinds = written(kinds, "passage-kinds")
-    placed = spans_.drop("w").join(kinds.drop("w"), ["g", "s", "m"])
+    # A span in a later document than its first goes in whole. (The content's hash covers the length.)
+    kinds = written(found.groupBy("g", "s").agg(F.min("o").alias("first")), "passage-kinds")
+    placed = found.drop("w").join(kinds, ["g", "s"])
     whole = placed.where("o > first").select("o", "h", "i", "m", F.lit(None).cast("array<int>").alias("at"))
 
     # Anchors with several kinds of spans: compare their windows.
     mixed = kinds.groupBy("g").count().where("count > 1").select("g")
-    several = kinds.join(mixed, "g", "left_semi")
+    mixed = maybe_broadcast(written(mixed, "passage-mixed"), BROADCAST_ROWS)
+    several = found.join(mixed, "g", "left_semi").groupBy("g", "s").agg(
+        F.min("o").alias("first"), F.first("w").alias("w")
+    )
 
     def windows(batches):
         for batch in batches:
@@ -293,24 +295,26 @@ def drop_repeated_passages(
             starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c).take(at) for c in ("g", "s", "m", "first")),
+                    *(batch.column(c).take(at) for c in ("g", "s", "first")),
                     pa.array(np.frombuffer(b"".join(blobs), np.int64)),
                     pa.array((np.arange(int(sizes.sum())) - starts).astype(np.int32)),
                 ],
-                names=["g", "s", "m", "first", "v", "k"],
+                names=["g", "s", "first", "v", "k"],
             )
 
     single = written(
-        several.select("g", "s", "m", "first", "w").mapInArrow(
-            windows, "g bigint, s bigint, m int, first bigint, v bigint, k int"
+        several.select("g", "s", "first", "w").mapInArrow(
+            windows, "g bigint, s bigint, first bigint, v bigint, k int"
         ),
         "passage-windows",
     )
     earliest = single.groupBy("g", "v").agg(F.min("first").alias("least"), F.max("first").alias("most"))
     earliest = earliest.where("least < most").select("g", "v", "least")
     parts = single.join(earliest, ["g", "v"]).where("least < first")
-    parts = parts.groupBy("g", "s", "m").agg(F.collect_list("k").alias("at"))
-    partial = placed.where("o = first").join(parts, ["g", "s", "m"]).select("o", "h", "i", "m", "at")
+    parts = written(parts.groupBy("g", "s").agg(F.collect_list("k").alias("at")), "passage-parts")
+    partial = placed.where("o = first").join(parts, ["g", "s"]).select("o", "h", "i", "m", "at")
+    entire = copies.select("o", "h", F.lit(-1).alias("i"), F.lit(0).alias("m"), F.lit(None).cast("array<int>").alias("at"))
+    whole = whole.unionByName(entire)
 
     gone = whole.unionByName(partial).groupBy("o", "h").agg(F.collect_list(F.struct("i", "m", "at")).alias("gone"))
     kind = rows.schema["d"].dataType.simpleString()
@@ -323,7 +327,9 @@ def drop_repeated_passages(
                 for value, spans in zip(piece.column("t").to_pylist(), piece.column("gone").to_pylist()):
                     words = words_of(value)
                     sizes.append(len(words))
-                    if spans:
+                    if spans and spans[0]["i"] < 0:  # an earlier document has the same text
+                        words = words if len(words) < window else []
+                    elif spans:
                         edges = np.zeros(len(words) + 1, np.int64)
                         for span in spans:
                             starts = [(span["i"], span["m"])] if span["at"] is None else [
