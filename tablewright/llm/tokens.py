@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 import unicodedata
 import uuid
 from collections.abc import Iterator, Sequence
@@ -38,8 +40,8 @@ CHECKSUM_FLAG = 0x80
 FRAME_IDS = 32_768
 #: Compressed bytes a file holds before the next one begins.
 FILE_BYTES = 64 << 20
-#: Words a task remembers; the memory of this many ends and starts anew.
-REMEMBERED_WORDS = 600_000
+#: Words whose ids a Python worker remembers: the first it meets, so the frequent ones.
+REMEMBERED_WORDS = 400_000
 
 #: One mark between a letter and white space is a piece of its own for every tokenizer that splits at letters.
 _LOOSE = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r])")
@@ -70,11 +72,14 @@ class WordEncoder:
         """The ids of each text as little-endian 32-bit integers."""
         if not self.split_words:
             return [np.array(e.ids, "<u4").tobytes() for e in self._plain([t or "" for t in texts])]
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
         split = [self._units(t) if t else [] for t in texts]
-        self._learn(set().union(*split) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        new = set().union(*split) - self.known.keys()
+        self._learn(new)
+        found = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        if len(self.known) > REMEMBERED_WORDS:
+            for unit in new:
+                del self.known[unit]
+        return found
 
     def _plain(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -104,12 +109,21 @@ class WordEncoder:
                 self.known[unit] = np.array(encoded.ids, "<u4").tobytes()
 
 
+def worker_encoder(path: str, split_words: bool) -> WordEncoder:
+    """The encoder that this Python worker keeps from task to task."""
+    kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__
+    key = f"{path} {split_words}"
+    if key not in kept:
+        kept[key] = WordEncoder(path, split_words)
+    return kept[key]
+
+
 class FrameWriter:
-    """Collects documents into frames and frames into one file's bytes."""
+    """Writes documents, as frames, to anything with ``write``."""
 
-    def __init__(self, level: int = 3):
+    def __init__(self, sink, level: int = 3):
+        self.sink = sink
         self.compressor = zstandard.ZstdCompressor(level=level)
-        self.chunks: list[bytes] = []
         self.frames: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int | None, int, int, int]] = []  # id, frame, first id in the frame, ids
         self.open: list[bytes] = []
@@ -130,11 +144,11 @@ class FrameWriter:
         raw = b"".join(self.open)
         packed = self.compressor.compress(raw)
         self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-        self.chunks.append(packed)
+        self.sink.write(packed)
         self.bytes += len(packed)
         self.open, self.open_ids = [], 0
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         if self.open_ids:
             self._end_frame()
         ids = np.array([d or 0 for d, *_ in self.docs], "<i8")
@@ -145,7 +159,7 @@ class FrameWriter:
         entries = [*self.frames, (len(index), 0, xxhash.xxh64_intdigest(index) & 0xFFFFFFFF)]
         table = b"".join(struct.pack("<III", *e) for e in entries)
         table += struct.pack("<IBI", len(entries), CHECKSUM_FLAG, SEEKABLE_MAGIC)
-        return b"".join([*self.chunks, index, struct.pack("<II", SEEK_TABLE_MAGIC, len(table)), table])
+        self.sink.write(index + struct.pack("<II", SEEK_TABLE_MAGIC, len(table)) + table)
 
 
 class SeekableFile:
@@ -229,27 +243,28 @@ def write_token_files(
         system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(tokenizer, split_words)
-        done = []
+        encoder = worker_encoder(tokenizer, split_words)
+        done, writer, own = [], None, ""
 
-        def close(writer):
+        def close():
             name = f"part-{part:06d}-{len(done):04d}.zst"
-            own = f"{base}/.{name}.{uuid.uuid4().hex}"
-            with system.open_output_stream(own) as out:
-                out.write(writer.finish())
+            writer.finish()
+            writer.sink.close()
             system.move(own, f"{base}/{name}")
             done.append((name, len(writer.docs), writer.total_ids))
 
-        writer = FrameWriter()
         for batch in batches:
             for piece in pieces(batch, "t"):
                 for number, ids in zip(piece.column("d").to_pylist(), encoder.encode(piece.column("t").to_pylist())):
-                    if writer.bytes >= FILE_BYTES:
-                        close(writer)
-                        writer = FrameWriter()
+                    if writer and writer.bytes >= FILE_BYTES:
+                        close()
+                        writer = None
+                    if not writer:
+                        own = f"{base}/.{uuid.uuid4().hex}"
+                        writer = FrameWriter(system.open_output_stream(own))
                     writer.add(number, ids + end)
-        if writer.docs:
-            close(writer)
+        if writer:
+            close()
         names, docs, ids = zip(*done) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.string()), pa.array(docs, pa.int64()), pa.array(ids, pa.int64())],
