@@ -41,10 +41,11 @@ FRAME_IDS = 32_768
 #: Compressed bytes a file holds before the next one begins.
 FILE_BYTES = 64 << 20
 #: Words whose ids a Python worker remembers: the first it meets, so the frequent ones.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 700_000
 
 #: One mark between a letter and white space is a piece of its own for every tokenizer that splits at letters.
-_LOOSE = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r])")
+#: (Letters here: a-z, and those of U+00C0 to U+00FF. The mark comes first, which is what the search looks for.)
+_LOOSE = re.compile(rb"([.,])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \t-\r])")
 
 
 class WordEncoder:
