@@ -8,6 +8,7 @@ Documents with equal shingle sets are one class. First, each bucket's classes ar
 and linked classes become components. Then, in buckets that still hold several components, members of
 different components are compared, in blocks of bounded size; members of one component never are. A
 comparison looks at the signatures first; pairs that these do not rule out are verified on whole shingle sets.
+Only links leave a comparison, so what it writes does not grow with the pairs it looks at.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import LOWER_BYTES, column, maybe_broadcast, pieces, written
+from tablewright.llm.common import LOWER_BYTES, WordHashes, column, maybe_broadcast, pieces, written
 from tablewright.llm.substrings import mix
 from tablewright.operators.components import connected_components
 
@@ -26,8 +27,8 @@ from tablewright.operators.components import connected_components
 SLOTS = 127
 #: Largest chance that a pair exactly at the threshold shares no bucket.
 MISS = 1e-6
-#: A pair is ruled out if its signatures agree in so much less than the threshold (over six deviations).
-SLACK = 0.2
+#: A pair is ruled out if its signatures agree in so much less than the threshold (over five deviations).
+SLACK = 0.18
 #: Members of a bucket that are compared with each other, or with as many others, at once.
 BLOCK = 1024
 #: Ids up to which a counted table of them is broadcast.
@@ -36,11 +37,10 @@ BROADCAST_ROWS = 1_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_sets(texts: list, width: int) -> list[np.ndarray]:
+def shingle_sets(texts: list, width: int, hashes: WordHashes) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes; none for a text without words."""
     split = [[] if t is None else t.encode().translate(LOWER_BYTES).split() for t in texts]
-    sizes = np.array([len(s) for s in split], np.int64)
-    flat = np.fromiter((xxhash.xxh3_64_intdigest(w) for s in split for w in s), np.uint64, int(sizes.sum()))
+    flat, sizes = hashes.of(split)
     out, start = [], 0
     for size in sizes.tolist():
         words = flat[start : start + size]
@@ -97,9 +97,10 @@ _SKETCH = "o bigint, h bigint, n bigint, s binary, bands array<bigint>, sig bina
 
 def _sketched(rows: DataFrame, width: int, rows_per_band: int) -> DataFrame:
     def run(batches):
+        hashes = WordHashes()
         for batch in batches:
             for piece in pieces(batch, "t"):
-                sets = shingle_sets(piece.column("t").to_pylist(), width)
+                sets = shingle_sets(piece.column("t").to_pylist(), width, hashes)
                 signature = signatures(sets)
                 bands = bands_of(signature, rows_per_band)
                 bands = [b.tolist() if len(s) else [] for b, s in zip(bands.view(np.int64), sets)]
@@ -127,14 +128,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     both = with_v.join(chosen.withColumnsRenamed({"o": "u", "t": "tu"}), "u").select("u", "v", "tu", "tv")
 
     def run(batches):
-        held, held_set = None, None
+        held, held_set, hashes = None, None, WordHashes()
         for batch in batches:
             keep = []
             for row in range(batch.num_rows):
                 u = batch.column("u")[row].as_py()
                 if u != held:
-                    held, (held_set,) = u, shingle_sets([batch.column("tu")[row].as_py()], width)
-                (other,) = shingle_sets([batch.column("tv")[row].as_py()], width)
+                    held, (held_set,) = u, shingle_sets([batch.column("tu")[row].as_py()], width, hashes)
+                (other,) = shingle_sets([batch.column("tv")[row].as_py()], width, hashes)
                 common = len(np.intersect1d(held_set, other, assume_unique=True))
                 keep.append(100 * common >= percent * (len(held_set) + len(other) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -162,8 +163,31 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("u", "v", "sig", "z").mapInArrow(run, "u bigint, v bigint")
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v), u < v, of one bucket but different components that are not ruled out.
+def _whole_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(v, n, sig, z): size, signature and whole shingle set of the texts with these ids."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for piece in pieces(batch, "t"):
+                sets = shingle_sets(piece.column("t").to_pylist(), width, hashes)
+                signature = signatures(sets).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column("o"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([r.tobytes() for r in signature], pa.binary()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                    ],
+                    names=["v", "n", "sig", "z"],
+                )
+
+    chosen = texts.join(maybe_broadcast(ids, BROADCAST_ROWS), "o", "left_semi").select("o", "t")
+    return chosen.mapInArrow(run, "v bigint, n bigint, sig binary, z binary").where("n > 0")
+
+
+def _links_between(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of components that a link of two members of one bucket connects.
 
     ``members`` has k (bucket), v and r (component). A bucket's largest component is split into blocks, and so
     is the rest; blocks of the rest meet each other and those of the largest component.
@@ -179,7 +203,9 @@ def _open_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
         F.ceil((F.col("total") - F.col("main.c")) / BLOCK).cast("int").alias("rests"),
         (F.col("total") <= BLOCK).alias("small"),
     )
-    placed = members.join(stats, "k").join(classes.select("v", "n", "sig"), "v")
+    placed = written(members.join(stats, "k"), "near-crowds")
+    ids = written(placed.select(F.col("v").alias("o")).distinct(), "near-ids")
+    placed = placed.join(written(_whole_sets(texts, ids, width), "near-sets"), "v")
     in_main = F.col("r") == F.col("main")
     block = F.pmod(F.xxhash64("v"), F.when(in_main, F.col("mains")).otherwise(F.col("rests")))
 
@@ -200,21 +226,31 @@ def _open_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
             )
         )
     )
-    dealt = placed.withColumn("b", block).select("k", "v", "r", "n", "sig", F.explode(tasks).alias("q"))
-    dealt = dealt.select("k", "q.*", "v", "r", "n", "sig").repartition("k", "p", "x", "y")
+    dealt = placed.withColumn("b", block).select("k", "v", "r", "n", "sig", "z", F.explode(tasks).alias("q"))
+    dealt = dealt.select("k", "q.*", "v", "r", "n", "sig", "z").repartition("k", "p", "x", "y")
     dealt = dealt.sortWithinPartitions("k", "p", "x", "y", "v")
     least = SLOTS * (percent / 100 - SLACK)
 
-    def compare(v, r, n, sig):
+    def compare(v, r, n, sig, whole):
+        """Components of all linked members of a group."""
+        linked = set()
         for start in range(0, len(v), 64):
             rows = slice(start, start + 64)
             fit = (v[rows, None] < v) & (r[rows, None] != r)
             fit &= 100 * np.minimum(n[rows, None], n) >= percent * np.maximum(n[rows, None], n)
-            a, b = np.nonzero(fit)
-            for at in range(0, len(a), 1 << 16):
-                x, y = a[at : at + (1 << 16)] + start, b[at : at + (1 << 16)]
-                good = (sig[x] == sig[y]).sum(1) >= least
-                yield v[x[good]], v[y[good]]
+            for at, others in enumerate(fit, start):
+                others = np.flatnonzero(others)
+                others = others[(sig[others] == sig[at]).sum(1) >= least]
+                if not len(others):
+                    continue
+                own = np.frombuffer(whole[at], np.uint64)
+                sets = [np.frombuffer(whole[o], np.uint64) for o in others.tolist()]
+                flat = np.concatenate(sets)
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.add.reduceat(hit, np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
+                good = others[100 * common >= percent * (n[at] + n[others] - common)]
+                linked.update((min(r[at], x), max(r[at], x)) for x in r[good].tolist())
+        return linked
 
     def run(batches):
         held = None
@@ -225,28 +261,27 @@ def _open_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
             keys = np.stack([table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
             edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
             v, r, n = (table.column(c).to_numpy() for c in ("v", "r", "n"))
-            sig = _bytes(table.column("sig"))
+            sig, whole = _bytes(table.column("sig")), table.column("z").to_pylist()
             for a, b in zip(edges, edges[1:]):
                 if b == table.num_rows and not last:
                     return table.slice(a)
-                found.extend(compare(v[a:b], r[a:b], n[a:b], sig[a:b]))
+                found |= compare(v[a:b], r[a:b], n[a:b], sig[a:b], whole[a:b])
             return None
 
         def out(found):
-            u = np.concatenate([x for x, _ in found] or [np.empty(0, np.int64)])
-            v = np.concatenate([y for _, y in found] or [np.empty(0, np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            u, v = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             if held is not None:
                 batch = pa.concat_batches([held, batch])
-            found = []
+            found = set()
             held = groups(batch, False, found)
             yield out(found)
         if held is not None:
-            found = []
+            found = set()
             groups(held, True, found)
             yield out(found)
 
@@ -295,14 +330,15 @@ def near_duplicates(
     links = written(_verified(_alike(stars, classes, percent), texts, width, percent).union(given), "near-links")
     roots = written(connected_components(_ends(links), links), "near-roots")
     placed = members.select("k", "v").join(roots, "v", "left").select("k", "v", F.coalesce("root", "v").alias("r"))
-    more = _open_pairs(written(placed, "near-placed"), classes, percent).join(stars, ["u", "v"], "left_anti")
-    more = written(_verified(written(more, "near-open"), texts, width, percent), "near-more")
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = written(connected_components(_ends(links), links), "near-roots")
-    found = owner.join(roots, "v", "left")
-    component = F.when(F.col("v").isNull(), F.col("o")).otherwise(F.coalesce("root", "v"))
-    found = found.select("o", "n", component.alias("c"))
+    more = written(_links_between(written(placed, "near-placed"), texts, width, percent), "near-more")
+    found = owner.join(roots, "v", "left").select("o", "n", F.coalesce("root", "v").alias("r"))
+    if not more.isEmpty():  # components of components
+        joined = connected_components(_ends(more), more).select(F.col("v").alias("r"), "root")
+        found = found.join(written(joined, "near-roots"), "r", "left").select(
+            "o", "n", F.coalesce("root", "r").alias("r")
+        )
+    # Without shingles a document is alone.
+    found = found.select("o", "n", F.coalesce("r", "o").alias("c"))
 
     def back(c):
         return F.when(F.col(c) != nothing, F.col(c))
