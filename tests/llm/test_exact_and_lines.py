@@ -90,6 +90,34 @@ def test_lines_of_awkward_rows(spark):
     assert drop_repeated_lines(documents(spark, [])).count() == 0
 
 
+def long_lines_by_hand(rows, words):
+    """Kept text of every document if repeats of RUN lines, or of fewer with ``words`` words, go."""
+    seen, out = set(), {}
+    for d, text in sorted(rows):
+        lines = text.split("\n")
+        seq = [(i, s) for i, line in enumerate(lines) if (s := line.strip(" \t\n\x0b\x0c\r"))]
+        gone = set()
+        for n in range(1, RUN + 1):
+            for i in range(len(seq) - n + 1):
+                key = tuple(s for _, s in seq[i : i + n])
+                if n == RUN or sum(len(re.findall(r"[^\x20\x09-\x0D]+", s)) for s in key) >= words:
+                    gone |= {at for at, _ in seq[i : i + n]} if key in seen else set()
+                    seen.add(key)
+        everything = gone and len(gone) == len(seq)
+        out[d] = "" if everything else "\n".join(s for i, s in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_long_repeats_of_fewer_lines(spark, sf):
+    long, half = "wörd " * 50, "half " * 25
+    added = [long, f"a\n{long}\nb", "Les.\nb", f"{half}\n\n {half}x\nc", f"d\n{half}\n{half}x", f"{half}\ne", "Les."]
+    rows = sorted(texts(spark, sf).items()) + [(10**6 + i, text) for i, text in enumerate(added)]
+    got = by_id(drop_repeated_lines(documents(spark, rows), words=50))
+    assert {d: r["text"] for d, r in got.items()} == long_lines_by_hand(rows, 50)
+    assert [got[10**6 + i]["text"] for i in range(7)] == [long, "a\nb", "Les.\nb", added[3], "d", added[5], "Les."]
+    assert got[10**6 + 1]["n_removed"] == 1 and got[10**6 + 4]["n_removed"] == 2
+
+
 @pytest.mark.parametrize("name", ["op1_repeated_lines", "op7_exact_copies"])
 def test_queries_keep_every_document(spark, sf, name):
     ids = sorted(texts(spark, sf))
