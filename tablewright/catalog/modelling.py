@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import cache
 
 from pyspark.sql import Window
@@ -216,35 +215,17 @@ PRICE = TaskConfig("regression", "p_retailprice", ["p_size", "p_brand", "p_type"
 QUALITY = TaskConfig("classification", "quality", ["n_chars", "lang", "source"])
 BALANCE = TaskConfig("clustering", None, ["c_acctbal", "c_nationkey"])
 
-# Search spaces of the registered queries: the linear ones whole, fewer points for the ensembles,
-# whose full spaces (REGISTRY, CLUSTERERS) take minutes of small jobs on one machine.
-FEWER = {
-    "random_forest_regressor": {"n_estimators": [50], "max_depth": [None, 5]},
-    "gbt_regressor": {"n_estimators": [10], "max_depth": [3, 5]},
-    "random_forest_classifier": {"n_estimators": [50], "max_depth": [None, 5]},
-    "gbt_classifier": {"n_estimators": [10], "max_depth": [3, 5]},
-    "dbscan": {"eps": [0.1, 0.5], "min_samples": [3]},
-}
-
-
-def _fewer(specs):
-    return [replace(s, grid=FEWER.get(s.key, s.grid)) for s in specs]
-
 
 @cache
 def trained(spark, folder, task):
     """One run per session, table folder and task, shared by the queries that look at it."""
     if task == "regression":
-        return supervised.train(
-            table(spark, folder, "part"), PRICE, models=_fewer(REGISTRY[task]), parallelism=8
-        )
+        return supervised.train(table(spark, folder, "part"), PRICE, parallelism=8)
     if task == "classification":
         documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
         joined = documents.join(labels, "doc_id", "left")
-        return supervised.train(joined, QUALITY, models=_fewer(REGISTRY[task]), parallelism=8)
-    return clustering.train(
-        table(spark, folder, "customer"), BALANCE, models=_fewer(clustering.CLUSTERERS)
-    )
+        return supervised.train(joined, QUALITY, parallelism=8)
+    return clustering.train(table(spark, folder, "customer"), BALANCE)
 
 
 def _register_run(task: str) -> None:

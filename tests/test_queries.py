@@ -29,3 +29,18 @@ def test_entry_contract(spark):
     assert module.entry(spark).count() == 11
     assert set(module.oracle_sql()) <= set(module.queries())
     assert set(QUERIES) <= set(module.queries())
+
+
+@pytest.mark.parametrize("task", ["regression", "classification", "clustering"])
+def test_training_queries_search_the_whole_spaces(spark, sf, monkeypatch, task):
+    from tablewright.catalog import modelling
+
+    seen = {}
+
+    def note(df, config, **options):
+        seen[config.task] = options.get("models")
+
+    monkeypatch.setattr(modelling.supervised, "train", note)
+    monkeypatch.setattr(modelling.clustering, "train", note)
+    modelling.trained.__wrapped__(spark, sf, task)
+    assert seen == {task: None}
