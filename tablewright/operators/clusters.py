@@ -20,9 +20,8 @@ from tablewright.operators.points import distances, over_block_pairs, squared_di
 from tablewright.types import LIMITS
 
 NOISE = -1
-# Up to here every distance is computed; beyond, the silhouette's closed form over squared
-# distances takes over, under its own name.
-MAX_EXACT_POINTS = 20_000
+# The silhouette's distances: plain ones at every size, or the closed form over squared ones.
+EUCLIDEAN, SQUARED = "silhouette", "silhouette_sq"
 
 
 def cluster_counts(labelled: DataFrame) -> DataFrame:
@@ -127,18 +126,26 @@ def silhouette_points(labelled: DataFrame, n: int) -> DataFrame:
     )
 
 
-def silhouette(labelled: DataFrame, n: int, max_exact: int = MAX_EXACT_POINTS) -> tuple[str, float]:
-    """(metric name, mean score) over all rows, noise left out."""
-    if n <= max_exact:
+def silhouette(
+    labelled: DataFrame, n: int, max_exact: int | None = None, score: str = EUCLIDEAN
+) -> tuple[str, float]:
+    """(metric name, mean score) over all rows, noise left out.
+
+    ``score`` says which distances count, whatever the size. Only a caller who gives ``max_exact`` gets the
+    squared form for more distinct points than that.
+    """
+    if score not in (EUCLIDEAN, SQUARED):
+        raise ValueError(f"score must be {EUCLIDEAN} or {SQUARED}, not {score}")
+    if score == EUCLIDEAN and (max_exact is None or n <= max_exact):
         per_point = silhouette_points(labelled, n)
         row = per_point.agg((F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("s")).first()
-        return "silhouette", row["s"]
+        return EUCLIDEAN, row["s"]
     real = labelled.where(F.col("label") != NOISE).select(
         array_to_vector("x").alias("features"),
         F.col("label").cast("double").alias("prediction"),
         F.col("w").cast("double").alias("weight"),
     )
-    return "silhouette_sq", ClusteringEvaluator(weightCol="weight").evaluate(real)
+    return SQUARED, ClusteringEvaluator(weightCol="weight").evaluate(real)
 
 
 def centroids(labelled: DataFrame) -> DataFrame:
@@ -188,13 +195,13 @@ def davies_bouldin(labelled: DataFrame, n_clusters: int) -> DataFrame:
 
 
 def score_clustering(
-    labelled: DataFrame, n: int, max_exact: int = MAX_EXACT_POINTS
+    labelled: DataFrame, n: int, max_exact: int | None = None, score: str = EUCLIDEAN
 ) -> dict[str, float] | None:
     """The metrics of a clustering, or None if it is not a valid one."""
     counts = cluster_counts(labelled).first()
     if not counts["is_valid"]:
         return None
-    name, value = silhouette(labelled, n, max_exact)
+    name, value = silhouette(labelled, n, max_exact, score)
     scatter = davies_bouldin(labelled, counts["n_clusters"]).first()["davies_bouldin"]
     return {
         name: value,

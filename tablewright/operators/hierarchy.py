@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.storage import cut_lineage
-from tablewright.operators.clusters import MAX_EXACT_POINTS, centroids, cluster_distance_sums
+from tablewright.operators.clusters import centroids, cluster_distance_sums
 from tablewright.operators.points import distances
 from tablewright.types import SEED
 
 MAX_MICRO = 256
+MAX_EXACT_POINTS = 20_000
 LINKAGES = ("ward", "average")
 
 

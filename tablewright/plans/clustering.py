@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.storage import cut_lineage
 from tablewright.operators.clean import check_config, clean, few_rows_issue
 from tablewright.operators.clusters import (
-    MAX_EXACT_POINTS,
+    EUCLIDEAN,
     cluster_sizes,
     projection,
     score_clustering,
@@ -136,9 +136,13 @@ def train(
     df: DataFrame,
     config: TaskConfig,
     models: list[ClusterSpec] | None = None,
-    max_exact: int = MAX_EXACT_POINTS,
+    max_exact: int | None = None,
+    score: str = EUCLIDEAN,
 ) -> Run:
-    """Cluster all clean rows with every algorithm; there is no split and no target."""
+    """Cluster all clean rows with every algorithm; there is no split and no target.
+
+    ``score`` is the metric that decides, the same at every size: ``silhouette`` or ``silhouette_sq``.
+    """
     if config.task != CLUSTERING:
         raise ConfigError("Supervised tasks are trained by tablewright.plans.supervised.train.")
     check_config(df, config)
@@ -150,7 +154,7 @@ def train(
         raise ConfigError(few_rows_issue(totals["rows"]))
     plane = projection(points)
     outcomes = [
-        cluster_one(spec, points, totals["n"], prepared, plane, max_exact)
+        cluster_one(spec, points, totals["n"], prepared, plane, max_exact, score)
         for spec in (models or CLUSTERERS)
     ]
     return Run(config, totals["rows"], 0, outcomes, df.sparkSession)
@@ -162,7 +166,8 @@ def cluster_one(
     n: int,
     prepared: PipelineModel | None,
     plane: DataFrame | None = None,
-    max_exact: int = MAX_EXACT_POINTS,
+    max_exact: int | None = None,
+    score: str = EUCLIDEAN,
 ) -> ModelOutcome:
     """Best valid grid point by silhouette; the earlier one on a tie, failed ones left out."""
     started = time.perf_counter()
@@ -172,7 +177,7 @@ def cluster_one(
             if not isinstance(tried, Fitted):
                 search.append((_text(tried[0]), None))
                 continue
-            metrics = score_clustering(tried.labelled, n, max_exact)
+            metrics = score_clustering(tried.labelled, n, max_exact, score)
             value = _silhouette(metrics)
             search.append((_text(tried.params), value))
             if value is not None and (best is None or value > _silhouette(scores)):

@@ -13,7 +13,7 @@ from tablewright.types import TaskConfig
 # The metric that decides, and whether less or more of it wins.
 PRIMARY = {"regression": "rmse", "classification": "f1", "clustering": "silhouette"}
 LESS_WINS = {"rmse"}
-# Large clusterings are scored over squared distances; a run uses one of the two throughout.
+# A clustering can be asked for the score over squared distances instead; a run uses one of the two throughout.
 STAND_INS = {"silhouette": "silhouette_sq"}
 
 RESULT_SCHEMA = (

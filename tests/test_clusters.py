@@ -132,6 +132,19 @@ def test_large_tables_use_the_squared_form(spark, blobs):
     assert name == "silhouette_sq" and value > 0.9
 
 
+def test_score_does_not_switch_with_the_size(spark):
+    x, labels = np.random.default_rng(11).normal(size=(30, 2)), np.arange(30) % 3
+    df = frame(spark, x, labels)
+    expected = pytest.approx(brute_silhouette(x, labels).mean())
+    for n in (30, 20_001):
+        assert silhouette(df, n) == ("silhouette", expected)
+        name, value = silhouette(df, n, score="silhouette_sq")
+        assert name == "silhouette_sq" and value != expected
+    assert "silhouette_sq" in score_clustering(df, 30, score="silhouette_sq")
+    with pytest.raises(ValueError, match="silhouette"):
+        silhouette(df, 30, score="cosine")
+
+
 @pytest.mark.parametrize(("d", "eps", "m"), [(2, 0.3, 4), (5, 1.2, 4)])
 def test_dbscan_matches_brute_force(spark, d, eps, m):
     rng = np.random.default_rng(d)
