@@ -34,8 +34,8 @@ INVALID = (
     "No combination of parameters gave a valid clustering: it takes at least two clusters, fewer "
     "clusters than rows, and not only noise."
 )
-# K-Means restarts per k; the parallel seeding needs few.
-RESTARTS = 3
+# K-Means restarts per k.
+RESTARTS = 10
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class ClusterSpec:
         return grid_points(self.grid, list(self.grid))
 
 
-def _fit_kmeans(points: DataFrame, n: int, combos: list[dict[str, Any]]):
+def _fit_kmeans(points: DataFrame, n: int, combos: list[dict[str, Any]], restarts: int = RESTARTS):
     vectors = points.select("*", array_to_vector("x").alias(FEATURES), F.col("w").cast("double").alias("_w"))
     vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -75,7 +75,7 @@ def _fit_kmeans(points: DataFrame, n: int, combos: list[dict[str, Any]]):
                         weightCol="_w",
                         predictionCol="_p",
                     ).fit(vectors)
-                    for restart in range(RESTARTS)
+                    for restart in range(restarts)
                 ]
                 best = min(models, key=lambda m: m.summary.trainingCost)
                 labels = best.transform(vectors).select(

@@ -273,6 +273,16 @@ def test_clustering_run(run):
     assert run.winner == "kmeans"
 
 
+def test_kmeans_takes_the_best_of_ten_starts(spark, monkeypatch):
+    seeds, real = [], clustering.KMeans
+    monkeypatch.setattr(clustering, "KMeans", lambda **given: seeds.append(given["seed"]) or real(**given))
+    points = points_of(spark.range(40).selectExpr("double(id) as a"), ["a"])
+    assert len(list(clustering._fit_kmeans(points, 40, [{"n_clusters": 2}]))) == 1
+    assert len(set(seeds)) == len(seeds) == 10
+    assert len(list(clustering._fit_kmeans(points, 40, [{"n_clusters": 2}], restarts=2))) == 1
+    assert len(seeds) == 12
+
+
 def test_no_valid_combination_is_a_failure(spark, run):
     hopeless = clustering.ClusterSpec("dbscan", "DBSCAN", {"eps": [1000.0], "min_samples": [3]}, clustering._fit_dbscan)
     points = points_of(spark.range(40).selectExpr("double(id) as a"), ["a"])
