@@ -26,8 +26,8 @@ LABEL = "_label"
 PREDICTION = "_prediction"
 RAW = "_raw"
 PROBABILITY = "_probability"
-# Depth standing in for "no limit". Spark allows up to 30; every level is a pass over the data.
-DEPTH_CAP = 10
+# Depth standing in for "no limit": the most that Spark allows.
+DEPTH_CAP = 30
 
 
 class InverseStrengthLogisticRegression(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -82,12 +82,14 @@ class ModelSpec:
     def param_map(self, estimator: Estimator, point: dict[str, Any]) -> dict[Param, Any]:
         inner = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
         return {
-            inner.getParam(self.spark_names.get(name, name)): (
-                DEPTH_CAP if name == "max_depth" and value is None else value
-            )
-            for name, value in point.items()
+            inner.getParam(self.spark_names.get(name, name)): value
+            for name, value in self.fitted_point(point).items()
         }
 
+    def fitted_point(self, point: dict[str, Any]) -> dict[str, Any]:
+        """The values that are really fitted: no depth limit becomes DEPTH_CAP."""
+        return {k: DEPTH_CAP if k == "max_depth" and v is None else v for k, v in point.items()}
+
 
 _COLUMNS = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION}
 _FOREST = {"n_estimators": "numTrees", "max_depth": "maxDepth"}

@@ -162,13 +162,14 @@ def train_one(
             spec.display_name,
             "success",
             time.perf_counter() - started,
-            {k: str(v) for k, v in points[best].items()},
+            {k: str(v) for k, v in spec.fitted_point(points[best]).items()},
             metrics,
             pipeline=_exportable(fitted, config, labels),
             importance=ranked,
             charts=charts,
             search=[
-                ({k: str(v) for k, v in p.items()}, s) for p, s in zip(points, scores, strict=True)
+                ({k: str(v) for k, v in spec.fitted_point(p).items()}, s)
+                for p, s in zip(points, scores, strict=True)
             ],
         )
     except (PySparkException, ValueError, RuntimeError) as exc:

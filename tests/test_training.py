@@ -92,6 +92,18 @@ def test_trees_rank_features(houses):
     assert sum(r["importance"] for r in ranked) == pytest.approx(1.0)
 
 
+def test_no_depth_limit_is_the_most_spark_allows(spark):
+    df = spark.createDataFrame([(float(i), 2.0**i) for i in range(40)], "x double, y double")
+    config = TaskConfig("regression", "y", ["x"])
+    models = only("regression", "random_forest_regressor", n_estimators=[3], max_depth=[None])
+    run = train(df, config, models=models)
+    outcome = run.outcome("random_forest_regressor")
+    assert outcome.best_params == {"max_depth": "30", "n_estimators": "3"}
+    assert outcome.search[0][0] == outcome.best_params
+    forest = outcome.pipeline.stages[-2]
+    assert forest.getMaxDepth() == 30 and max(t.depth for t in forest.trees) > 10
+
+
 def test_three_string_classes_with_boosting(spark):
     rows = [(float(i % 3) + 0.01 * (i // 3), i % 5, ["low", "mid", "top"][i % 3]) for i in range(90)]
     df = spark.createDataFrame(rows, "x double, z bigint, y string")
