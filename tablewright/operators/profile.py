@@ -321,16 +321,21 @@ def _wide_correlation(df: DataFrame, names: list[str]) -> DataFrame:
     """
     spark, d = df.sparkSession, len(names)
     doubles = df.select(*[col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    means = doubles.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in doubles.columns]).first()
+    means = doubles.agg(*[F.coalesce(F.avg(finite(F.col(c))), F.lit(0.0)).alias(c) for c in doubles.columns]).first()
     shift = np.array([means[c] for c in doubles.columns])
+    # Missing cells reach the workers as NaN, so cells that are no finite number go as infinity.
+    endless = F.lit(float("inf"))
+    doubles = doubles.select(
+        *[F.when(F.col(c).isNotNull(), F.coalesce(finite(F.col(c)), endless)).alias(c) for c in doubles.columns]
+    )
 
     def partial(batches):
-        total = np.zeros((3 * d, 3 * d))
+        total = np.zeros((4 * d, 4 * d))
         for batch in batches:
-            x = batch.to_numpy(dtype=float) - shift
-            seen = ~np.isnan(x)
-            x = np.where(seen, x, 0.0)
-            z = np.hstack([seen.astype(float), x, x * x])
+            x = batch.to_numpy(dtype=float)
+            seen, endless = ~np.isnan(x), np.isinf(x)
+            x = np.where(seen & ~endless, x - shift, 0.0)
+            z = np.hstack([seen.astype(float), x, x * x, endless.astype(float)])
             total += z.T @ z
         i, j = np.meshgrid(np.arange(d), np.arange(d), indexing="ij")
         yield pd.DataFrame(
@@ -340,18 +345,19 @@ def _wide_correlation(df: DataFrame, names: list[str]) -> DataFrame:
                 "n": total[:d, :d].ravel(),
                 "sx": total[d : 2 * d, :d].ravel(),
                 "sy": total[:d, d : 2 * d].ravel(),
-                "sxx": total[2 * d :, :d].ravel(),
-                "syy": total[:d, 2 * d :].ravel(),
+                "sxx": total[2 * d : 3 * d, :d].ravel(),
+                "syy": total[:d, 2 * d : 3 * d].ravel(),
                 "sxy": total[d : 2 * d, d : 2 * d].ravel(),
+                "endless": (total[3 * d :, :d] + total[:d, 3 * d :]).ravel(),
             }
         )
 
     parts = doubles.mapInPandas(
         partial,
-        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
+        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double, endless double",
     )
     sums = parts.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy", "endless")]
     )
     n = F.col("n")
     vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
@@ -359,7 +365,8 @@ def _wide_correlation(df: DataFrame, names: list[str]) -> DataFrame:
     vxy = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
     # Rounding leaves a constant column a variance near zero rather than at it.
     flat = (vx <= 1e-12 * F.col("sxx")) | (vy <= 1e-12 * F.col("syy"))
-    r = F.when(~flat, finite(F.try_divide(vxy, F.sqrt(F.abs(vx)) * F.sqrt(F.abs(vy)))))
+    # A pair of cells of which one is not finite leaves r undefined; it does no harm where the other is missing.
+    r = F.when(~flat & (F.col("endless") == 0), finite(F.try_divide(vxy, F.sqrt(F.abs(vx)) * F.sqrt(F.abs(vy)))))
     index = spark.createDataFrame(list(enumerate(names)), "k int, name string")
     xs = index.select(F.col("k").alias("i"), F.col("name").alias("column_x"))
     ys = index.select(F.col("k").alias("j"), F.col("name").alias("column_y"))

@@ -216,3 +216,13 @@ def test_profile_tables_are_written(spark, df, tmp_path):
     for name in TABLES:
         assert spark.read.parquet(f"{tmp_path}/{name}").count() > 0
     assert TaskConfig("regression", "age", ["income"]).selected == ["income", "age"]
+
+
+@pytest.mark.parametrize("bad", [float("inf"), float("-inf"), float("nan")])
+def test_correlation_of_cells_that_are_not_finite(spark, bad):
+    rows = [(1.0, 2.0, 1.0), (2.0, 1.0, 5.0), (4.0, 3.0, 2.0), (bad, None, 7.0), (5.0, 9.0, 3.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    cells = [{(r[0], r[1]): r[2] for r in correlation(df, wide=w).collect()} for w in (False, True)]
+    assert cells[0]["a", "b"] is not None and cells[0]["a", "c"] is None
+    assert {k: v is None for k, v in cells[0].items()} == {k: v is None for k, v in cells[1].items()}
+    assert all(v is None or v == pytest.approx(cells[1][k]) for k, v in cells[0].items())
