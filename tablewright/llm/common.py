@@ -80,6 +80,28 @@ def map_texts(
     return chosen.mapInArrow(run, schema).toDF(*keep, *(f.name for f in added.fields))
 
 
+def from_text(text: Column, added: T.StructType, work: Callable[[list], Sequence]) -> Column:
+    """A struct of what ``work`` makes of the text, one field per added one.
+
+    ``work`` is as in ``map_texts``. Only the text goes to the Python worker and only the struct comes back; the
+    row's other columns stay where they are.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = [f.name for f in added.fields]
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = []
+            for piece in pieces(pa.RecordBatch.from_arrays([batch], names=["t"]), "t"):
+                made = work(piece.column("t").to_pylist())
+                parts.append(pa.StructArray.from_arrays([pa.array(m, k) for m, k in zip(made, kinds)], names))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(names, kinds))))
+
+    return F.arrow_udf(run, added)(text.cast("string"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: it is computed once and outlives executors.
 

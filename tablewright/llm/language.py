@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import column, map_texts, pieces
+from tablewright.llm.common import column, from_text, pieces
 
 #: Buckets of the hashed trigrams.
 BUCKETS = 1 << 15
@@ -148,7 +148,8 @@ def predict_language(
 
     Whole texts are used. A null text, one without any letter, or a model without languages gives ``und``,
     score 0, not ambiguous. Equal scores go to the first language in order of name. Repeated rows are predicted
-    alike; an empty table gives an empty result. Other columns are not looked at.
+    alike; an empty table gives an empty result. Other columns are not looked at; those in ``keep`` do not pass
+    through Python.
     """
     added = T._parse_datatype_string("lang_pred string, score double, ambiguous boolean")
 
@@ -164,4 +165,6 @@ def predict_language(
                 names[i], scores[i], doubts[i] = model.languages[b], float(row[b]), g < AMBIGUOUS
         return names, scores, doubts
 
-    return map_texts(df, text, keep, added, work)
+    kept = [column(k).alias(f"k{i}") for i, k in enumerate(keep)]
+    found = df.select(*kept, from_text(column(text), added, work).alias("v"))
+    return found.select(*[f"k{i}" for i in range(len(kept))], "v.*").toDF(*keep, *added.names)
