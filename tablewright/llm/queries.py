@@ -22,6 +22,9 @@ def joined(column):
     return F.array_join(column, ",")
 
 
+#: A repeat of one or two lines counts from so many words on.
+REPEATED_WORDS = 50
+
 LINES_SQL = """
 WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -29,14 +32,20 @@ WITH line AS (
 ), bare AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM line
 ), full_line AS (
-  SELECT doc_id, pos, bare, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM bare WHERE bare != ''
+  SELECT doc_id, pos, bare, len(regexp_extract_all(bare, '[^\\x20\\x09-\\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM bare WHERE bare != ''
 ), win AS (
-  SELECT doc_id, r, bare || chr(10) || lead(bare, 1) OVER d || chr(10) || lead(bare, 2) OVER d AS p
+  SELECT doc_id, r, 3 AS n, bare || chr(10) || lead(bare, 1) OVER d || chr(10) || lead(bare, 2) OVER d AS p
   FROM full_line WINDOW d AS (PARTITION BY doc_id ORDER BY r)
+  UNION ALL SELECT doc_id, r, 1, bare FROM full_line WHERE words >= 50
+  UNION ALL SELECT doc_id, r, 2, p FROM (
+    SELECT doc_id, r, bare || chr(10) || lead(bare) OVER d AS p, words + lead(words) OVER d AS words
+    FROM full_line WINDOW d AS (PARTITION BY doc_id ORDER BY r)) WHERE words >= 50
 ), later AS (
-  SELECT doc_id, r FROM win WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_id, r) > 1
+  SELECT doc_id, r, n FROM win WHERE p IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY n, p ORDER BY doc_id, r) > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest([r, r + 1, r + 2]) AS r FROM later
+  SELECT DISTINCT doc_id, unnest(generate_series(r, r + n - 1)) AS r FROM later
 ), kept AS (
   SELECT b.doc_id, count(f.r) AS n_lines, count(g.r) AS n_removed,
          string_agg(CASE WHEN g.r IS NULL THEN line END, chr(10) ORDER BY b.pos) AS text
@@ -51,7 +60,7 @@ FROM documents LEFT JOIN kept USING (doc_id)
 
 @query("op1_repeated_lines", LINES_SQL)
 def op1_repeated_lines(spark, sf_dir):
-    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"), words=REPEATED_WORDS)
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
     return found.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 

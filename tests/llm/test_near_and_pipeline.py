@@ -122,10 +122,10 @@ def test_language_stage_keeps_clean_documents(stages):
 
 
 def test_line_stage_like_by_hand(stages):
-    from test_exact_and_lines import lines_by_hand
+    from test_exact_and_lines import long_lines_by_hand
 
     rows = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
-    expected = {d: text for d, (n, gone, text) in lines_by_hand(rows).items() if gone == 0 or gone < n}
+    expected = {d: text for d, text in long_lines_by_hand(rows, 50).items() if text}
     after = by_id(stages[2])
     assert {d: r["text"] for d, r in after.items()} == expected
     changed = [d for d, t in rows if d in expected and expected[d] != t]
