@@ -19,6 +19,8 @@ from tablewright.llm.packing import pack
 
 #: Ids up to which a counted table of them is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: A repeat of one or two lines goes from so many words on.
+REPEATED_WORDS = 50
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -41,14 +43,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that occur before; those of which nothing is left go.
+    """Documents without runs of lines, or long lines, that occur before; those of which nothing is left go.
 
     ``n_chars`` is brought up to date where lines went.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-    found = drop_repeated_lines(plain, doc_id, text)
+    found = drop_repeated_lines(plain, doc_id, text, words=REPEATED_WORDS)
     found = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     if "n_chars" in names:
         size = f"c{names.index('n_chars')}"
