@@ -65,7 +65,9 @@ class ModelSpec:
     """A registered model: how to build it, what to try, and whether it ranks features.
 
     ``grid`` maps public parameter names to (Spark parameter, value, ...) choices; ``make`` gets
-    the number of classes (0 for regression).
+    the number of classes (0 for regression). ``sharing`` says what the grid points of a fold have in common:
+    "products" (least squares), "boosted" (fewer rounds begin like more), "forest" (smaller ones are parts of
+    larger ones) or nothing.
     """
 
     key: str
@@ -74,6 +76,7 @@ class ModelSpec:
     grid: dict[str, list[Any]]
     spark_names: dict[str, str] = field(default_factory=dict)
     ranks_features: bool = False
+    sharing: str | None = None
 
     def combinations(self) -> list[dict[str, Any]]:
         """Every grid point, parameters in alphabetical order, the last varying fastest."""
@@ -92,6 +95,9 @@ class ModelSpec:
 
 
 _COLUMNS = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION}
+# Rows remember the node they have come to, so that no level walks the forest from its root, and the histograms of
+# many nodes are gathered in one pass.
+_GROWTH = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
 _FOREST = {"n_estimators": "numTrees", "max_depth": "maxDepth"}
 _BOOSTED = {"n_estimators": "maxIter", "max_depth": "maxDepth"}
 
@@ -113,14 +119,16 @@ REGISTRY: dict[str, list[ModelSpec]] = {
             lambda k: LinearRegression(regParam=0.0, **_COLUMNS),
             {"fit_intercept": [True, False]},
             {"fit_intercept": "fitIntercept"},
+            sharing="products",
         ),
         ModelSpec(
             "random_forest_regressor",
             "Random Forest Regressor",
-            lambda k: RandomForestRegressor(featureSubsetStrategy="all", seed=SEED, **_COLUMNS),
+            lambda k: RandomForestRegressor(featureSubsetStrategy="all", seed=SEED, **_COLUMNS, **_GROWTH),
             {"n_estimators": [50, 100], "max_depth": [None, 5]},
             _FOREST,
             ranks_features=True,
+            sharing="forest",
         ),
         ModelSpec(
             "gbt_regressor",
@@ -129,6 +137,7 @@ REGISTRY: dict[str, list[ModelSpec]] = {
             {"n_estimators": [50, 100], "max_depth": [3, 5]},
             _BOOSTED,
             ranks_features=True,
+            sharing="boosted",
         ),
     ],
     CLASSIFICATION: [
@@ -147,10 +156,12 @@ REGISTRY: dict[str, list[ModelSpec]] = {
                 rawPredictionCol=RAW,
                 probabilityCol=PROBABILITY,
                 **_COLUMNS,
+                **_GROWTH,
             ),
             {"n_estimators": [50, 100], "max_depth": [None, 5]},
             _FOREST,
             ranks_features=True,
+            sharing="forest",
         ),
         ModelSpec(
             "gbt_classifier",
@@ -159,6 +170,7 @@ REGISTRY: dict[str, list[ModelSpec]] = {
             {"n_estimators": [50, 100], "max_depth": [3, 5]},
             _BOOSTED,
             ranks_features=True,
+            sharing="boosted",
         ),
     ],
 }

@@ -9,9 +9,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, SQLTransformer
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +31,7 @@ from tablewright.operators.models import (
 from tablewright.operators.prepare import FEATURES, check_levels, feature_names, feature_stages
 from tablewright.operators.splits import folds, holdout
 from tablewright.plans.results import ModelOutcome, Run
+from tablewright.plans.search import FoldTables, search
 from tablewright.types import (
     CLASSIFICATION,
     CLUSTERING,
@@ -45,14 +44,6 @@ from tablewright.types import (
 OUTPUT = "prediction"
 
 
-def evaluator(task: str):
-    if task == REGRESSION:
-        return RegressionEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="rmse")
-    return MulticlassClassificationEvaluator(
-        labelCol=LABEL, predictionCol=PREDICTION, metricName="f1"
-    )
-
-
 def class_labels(cleaned: DataFrame, target: str) -> list:
     """All classes, by their natural order; ``target_issues`` says before that they are few."""
     return [r["label"] for r in cleaned.select(col(target).alias("label")).distinct().orderBy("label").collect()]
@@ -90,7 +81,7 @@ def train(
     if not classify:
         _raise_all(target_issues(df, config))
     cleaned = clean(df, config).persist(StorageLevel.MEMORY_AND_DISK)
-    train_rows_df = None
+    train_rows_df = tables = None
     try:
         rows = cleaned.count()
         if rows < LIMITS.min_rows:
@@ -108,14 +99,17 @@ def train(
             folds(train_part, key or config.selected, by), rows
         ).persist(StorageLevel.MEMORY_AND_DISK)
         n_train = train_rows_df.count()
+        tables = FoldTables(
+            train_rows_df, numeric, categorical, config.scaler, config.task, len(labels), list(range(LIMITS.folds))
+        )
         outcomes = [
-            train_one(
-                spec, config, numeric, categorical, labels, train_rows_df, test_part, key, parallelism
-            )
+            train_one(spec, config, labels, tables, test_part, key, parallelism)
             for spec in (models or REGISTRY[config.task])
         ]
         return Run(config, n_train, rows - n_train, outcomes, df.sparkSession)
     finally:
+        if tables is not None:
+            tables.release()
         if train_rows_df is not None:
             train_rows_df.unpersist()
         cleaned.unpersist()
@@ -134,10 +128,8 @@ def _raise_all(issues: list[str]) -> None:
 def train_one(
     spec: ModelSpec,
     config: TaskConfig,
-    numeric: list[str],
-    categorical: list[str],
     labels: list,
-    train_part: DataFrame,
+    tables: FoldTables,
     test_part: DataFrame,
     key: list[str] | None = None,
     parallelism: int = 4,
@@ -145,17 +137,14 @@ def train_one(
     """Tune and score one model; what goes wrong with it stays with it."""
     started = time.perf_counter()
     try:
-        estimator = spec.make(len(labels))
-        stages = [*feature_stages(numeric, categorical, config.scaler), estimator]
         points = spec.combinations()
-        best, scores, fitted = _search(
-            Pipeline(stages=stages), estimator, spec, points, evaluator(config.task), train_part, parallelism
-        )
+        found = search(spec, tables, parallelism)
+        best, scores, fitted = found.best, found.scores, found.fitted
         predicted = fitted.transform(test_part)
         metrics, charts = _score(predicted, config, labels, key)
         ranked = []
         if spec.ranks_features:
-            names = feature_names(numeric, categorical, fitted)
+            names = feature_names(tables.numeric, tables.categorical, fitted)
             ranked = list(zip(names, importances(fitted.stages[-1]), strict=True))
         return ModelOutcome(
             spec.key,
@@ -173,7 +162,7 @@ def train_one(
             ],
         )
     except (PySparkException, ValueError, RuntimeError) as exc:
-        if train_part.sparkSession.sparkContext._jsc is None:
+        if test_part.sparkSession.sparkContext._jsc is None:
             raise
         return ModelOutcome(
             spec.key,
@@ -184,46 +173,6 @@ def train_one(
         )
 
 
-def _search(pipeline, estimator, spec, points, scorer, train_part, parallelism):
-    """(index of the best point, mean fold score per point, pipeline refitted with it)."""
-    maps = [spec.param_map(estimator, p) for p in points]
-    larger = scorer.isLargerBetter()
-
-    def validator(chosen):
-        return CrossValidator(
-            estimator=pipeline,
-            estimatorParamMaps=chosen,
-            evaluator=scorer,
-            numFolds=LIMITS.folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        )
-
-    try:
-        model = validator(maps).fit(train_part)
-        scores = [float(v) for v in model.avgMetrics]
-        pick = max if larger else min
-        return scores.index(pick(scores)), scores, model.bestModel
-    except PySparkException:
-        # One bad grid point stops the joint search: try the points apart, leave out the bad ones.
-        scores, best, fitted, last = [], None, None, None
-        for i, chosen in enumerate(maps):
-            try:
-                model = validator([chosen]).fit(train_part)
-                scores.append(float(model.avgMetrics[0]))
-                better = best is None or (
-                    scores[i] > scores[best] if larger else scores[i] < scores[best]
-                )
-                if better:
-                    best, fitted = i, model.bestModel
-            except PySparkException as exc:
-                scores.append(None)
-                last = exc
-        if best is None:
-            raise last
-        return best, scores, fitted
-
-
 def _score(predicted: DataFrame, config: TaskConfig, labels: list, key: list[str] | None):
     if config.task == REGRESSION:
         metrics = regression_metrics(predicted, LABEL, PREDICTION).first().asDict()
