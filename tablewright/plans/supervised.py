@@ -12,6 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IndexToString, SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.expressions import col
 from tablewright.operators.clean import check_config, clean, few_rows_issue, target_issues
@@ -153,7 +154,7 @@ def train_one(
             time.perf_counter() - started,
             {k: str(v) for k, v in spec.fitted_point(points[best]).items()},
             metrics,
-            pipeline=_exportable(fitted, config, labels),
+            pipeline=_exportable(fitted, config, labels, tables.train.schema[config.target].dataType),
             importance=ranked,
             charts=charts,
             search=[
@@ -199,17 +200,26 @@ def _score(predicted: DataFrame, config: TaskConfig, labels: list, key: list[str
     return metrics, local
 
 
-def _exportable(fitted: PipelineModel, config: TaskConfig, labels: list) -> PipelineModel:
-    """The fitted pipeline with the prediction in the target's own terms as ``prediction``."""
+def _exportable(fitted: PipelineModel, config: TaskConfig, labels: list, dtype: T.DataType) -> PipelineModel:
+    """The fitted pipeline with the prediction in the target's own terms, and type, as ``prediction``."""
     if config.task == REGRESSION:
         last = SQLTransformer(statement=f"SELECT *, {PREDICTION} AS {OUTPUT} FROM __THIS__")
-    else:
+    elif isinstance(dtype, T.StringType):
         last = IndexToString(
             inputCol=PREDICTION, outputCol=OUTPUT, labels=[str(label) for label in labels]
         )
+    else:
+        classes = ", ".join(f"CAST('{_written(label)}' AS {dtype.simpleString()})" for label in labels)
+        place = f"CAST({PREDICTION} AS INT) + 1"
+        last = SQLTransformer(statement=f"SELECT *, element_at(array({classes}), {place}) AS {OUTPUT} FROM __THIS__")
     return PipelineModel(stages=[*fitted.stages, last])
 
 
+def _written(label) -> str:
+    """A class in a form that its type can be cast from; numbers, dates and truth values have no quotes in it."""
+    return repr(label) if isinstance(label, float) else str(label)
+
+
 def fit_one(
     df: DataFrame, config: TaskConfig, key: str, params: dict | None = None
 ) -> PipelineModel:
@@ -223,7 +233,7 @@ def fit_one(
     chosen = params or spec.combinations()[0]
     pipeline = Pipeline(stages=[*feature_stages(numeric, categorical, config.scaler), estimator])
     fitted = pipeline.fit(with_label(cleaned, config, labels), spec.param_map(estimator, chosen))
-    return _exportable(fitted, config, labels)
+    return _exportable(fitted, config, labels, cleaned.schema[config.target].dataType)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.plans.profile import Profile
+from tablewright.plans.profile import TABLES, Profile
 from tablewright.plans.results import Run
 from tablewright.plans.supervised import score
 from tablewright.types import CLUSTERING, ExperimentError
@@ -145,6 +145,48 @@ def assignments(spark: SparkSession, base: str, experiment_id: str, key: str) ->
     return table.where(mine).select("id", "w", "label")
 
 
+def read_chart(spark: SparkSession, base: str, experiment_id: str, key: str, chart: str) -> DataFrame:
+    """The points of one saved chart of one model."""
+    find_experiment(spark, base, experiment_id)
+    if re.match(KEY_PATTERN, key) and re.match(KEY_PATTERN, chart):
+        try:
+            return spark.read.parquet(
+                f"{base.rstrip('/')}/charts/{chart}/experiment_id={experiment_id}/model_key={key}"
+            )
+        except PySparkException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise ExperimentError(f"Experiment '{experiment_id}' has no chart '{chart}' of a model '{key}'.")
+
+
+def read_importances(spark: SparkSession, base: str, experiment_id: str) -> DataFrame:
+    """(model_key, feature, importance), the most important first within a model."""
+    find_experiment(spark, base, experiment_id)
+    table = spark.read.parquet(f"{base.rstrip('/')}/importances")
+    mine = table.where(F.col("experiment_id") == experiment_id).drop("experiment_id")
+    return mine.orderBy("model_key", F.col("importance").desc(), "feature")
+
+
+def read_metrics(spark: SparkSession, base: str, experiment_id: str) -> DataFrame:
+    """(model_key, metric, value) of the models that succeeded."""
+    find_experiment(spark, base, experiment_id)
+    table = spark.read.parquet(f"{base.rstrip('/')}/metrics")
+    return table.where(F.col("experiment_id") == experiment_id).drop("experiment_id")
+
+
+def read_profile(spark: SparkSession, base: str, experiment_id: str, section: str) -> DataFrame:
+    """One table of the profile that was saved with an experiment."""
+    find_experiment(spark, base, experiment_id)
+    if section not in TABLES:
+        raise ExperimentError(f"A profile has no table '{section}'; it has {', '.join(TABLES)}.")
+    try:
+        return spark.read.parquet(f"{base.rstrip('/')}/profiles/{experiment_id}/{section}")
+    except PySparkException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    raise ExperimentError(f"Experiment '{experiment_id}' was saved without a profile.")
+
+
 def as_json(records: DataFrame) -> list[dict]:
     """Records of one experiment (a row per model) as plain dictionaries."""
     return [json.loads(r["j"]) for r in records.select(F.to_json(F.struct("*")).alias("j")).collect()]

@@ -12,6 +12,10 @@ from tablewright.sources.experiments import (
     assignments,
     find_experiment,
     load_model,
+    read_chart,
+    read_importances,
+    read_metrics,
+    read_profile,
     save_experiment,
     score_rows,
 )
@@ -95,3 +99,22 @@ def test_clusterings_label_new_rows_only_if_they_can(spark, parts, tmp_path):
     assert kept.agg(F.sum("w")).first()[0] == run.train_rows
     with pytest.raises(ExperimentError, match="fitted on"):
         score_rows(spark, str(tmp_path), experiment_id, "agglomerative_clustering", rows)
+
+
+def test_tables_read_back(spark, saved, parts, tmp_path):
+    base, experiment_id, run = saved
+    chart = read_chart(spark, base, experiment_id, "linear_regression", "residuals")
+    assert sorted(map(tuple, chart.collect())) == sorted(map(tuple, run.outcomes[0].charts["residuals"].collect()))
+    assert {r["metric"]: r["value"] for r in read_metrics(spark, base, experiment_id).collect()} == run.outcomes[0].metrics
+    assert read_importances(spark, base, experiment_id).count() == 0
+    assert [r["column"] for r in read_profile(spark, base, experiment_id, "columns").orderBy("ordinal").collect()] == ["p_size", "p_type"]
+    for key, chart in (("gbt_regressor", "residuals"), ("linear_regression", "nothing"), ("../x", "residuals")):
+        with pytest.raises(ExperimentError, match="no chart"):
+            read_chart(spark, base, experiment_id, key, chart)
+    with pytest.raises(ExperimentError, match="no table"):
+        read_profile(spark, base, experiment_id, "everything")
+    with pytest.raises(ExperimentError, match="no experiment"):
+        read_metrics(spark, base, "0" * 32)
+    bare = save_experiment(run, f"{tmp_path}/other", "part")
+    with pytest.raises(ExperimentError, match="without a profile"):
+        read_profile(spark, f"{tmp_path}/other", bare, "columns")

@@ -124,8 +124,23 @@ def test_integer_classes_sort_as_numbers(spark):
     df = spark.createDataFrame([(float(i % 2), [2, 10][i % 2]) for i in range(80)], "x double, y bigint")
     config = TaskConfig("classification", "y", ["x"], drop_duplicates=False)
     model = fit_one(df, config, "logistic_regression")
-    assert model.stages[-1].getLabels() == ["2", "10"]
-    assert score(model, df).where(F.col("prediction") == F.col("y").cast("string")).count() == 80
+    scored = score(model, df)
+    assert scored.schema["prediction"].dataType == scored.schema["y"].dataType
+    assert scored.where("prediction = y").count() == 80
+
+
+@pytest.mark.parametrize("kind", ["string", "boolean", "date", "decimal(5,2)", "float", "timestamp", "tinyint"])
+def test_predictions_have_the_type_of_the_target(spark, kind):
+    words = {"boolean": ["false", "true"], "date": ["2020-01-31", "2021-02-28"], "string": ["it's", "__THIS__"]}
+    words["timestamp"] = ["2020-01-31 01:02:03.5", "2021-02-28 00:00:00"]
+    low, high = words.get(kind, ["1", "2"])
+    df = spark.createDataFrame([(float(i % 2), [low, high][i % 2]) for i in range(80)], "x double, y string")
+    df = df.withColumn("y", F.col("y").cast(kind))
+    config = TaskConfig("classification", "y", ["x"], drop_duplicates=False)
+    numbers = kind in ("decimal(5,2)", "float", "tinyint")
+    scored = score(fit_one(df, config, "logistic_regression"), df)
+    assert scored.schema["prediction"].dataType == df.schema["y"].dataType or not numbers
+    assert scored.where("prediction = y").count() == 80
 
 
 def test_inverse_strength_depends_on_rows(spark):
