@@ -11,7 +11,7 @@ Everything is DataFrame functions. Positions are code points; the end is exclusi
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,30 +35,69 @@ SAMPLE_SECRETS, SAMPLE_TEXTS = 5_000, 2_000
 #: A token is a secret if random is e**MIN_RATIO times as likely, and by so much per character.
 MIN_RATIO, MIN_RATIO_PER_CHAR = 16.0, 0.8
 
+#: Numbers whose running sums are appended to one array.
+BLOCK = 256
+
 _PLACES = "array<struct<a:int,b:int,v:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column], least: int) -> Column:
+    """For each of an array's numbers, the ``join`` (a sum, a maximum) of all before it; ``least`` where there are none.
+
+    What is found is appended to arrays of BLOCK numbers, and the blocks' own totals to another, so that no long
+    array is copied for every number.
+    """
+    none = F.array().cast("array<bigint>")
+    zero = F.lit(least).cast("bigint")
+
+    def appended(numbers: Column) -> Column:
+        start = F.struct(zero.alias("upto"), none.alias("out"))
+        return F.aggregate(
+            numbers,
+            start,
+            lambda s, n: F.struct(join(s["upto"], n).alias("upto"), F.concat(s["out"], F.array(s["upto"])).alias("out")),
+        )
+
+    def blocks(numbers: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(BLOCK))
+        return F.transform(starts, lambda at: appended(F.slice(numbers, at, BLOCK)))
+
+    def joined(parts: Column) -> Column:
+        before = appended(F.transform(parts, lambda p: p["upto"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p["out"], lambda v: join(v, b))))
+
+    return _let(values, lambda numbers: _let(blocks(numbers), joined))
+
+
 def _places(text: Column, pattern: str, group: int, found: Column) -> Column:
     """Start, end and group of every match; nothing is computed for texts without one (``found`` false)."""
-    between = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.transform(F.split(text, pattern, -1), F.length)
+    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    steps = F.zip_with(
-        F.zip_with(whole, value, lambda m, v: F.struct(F.length(m).alias("n"), v.alias("v"))),
-        F.transform(between, F.length),
-        lambda m, gap: F.struct(gap.alias("gap"), m["n"].alias("n"), m["v"].alias("v")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out"))
 
-    def go(seen, step):
-        a = seen["at"] + step["gap"]
-        b = a + step["n"]
-        place = F.struct(a.alias("a"), b.alias("b"), step["v"].alias("v"))
-        return F.struct(b.alias("at"), F.concat(seen["out"], F.array(place)).alias("out"))
+    def located(steps: Column) -> Column:
+        sizes = F.transform(steps, lambda s: (s["gap"] + s["n"]).cast("bigint"))
+        return F.zip_with(
+            steps,
+            _running(sizes, lambda x, y: x + y, 0),
+            lambda s, at: F.struct(
+                (at + s["gap"]).cast("int").alias("a"), (at + s["gap"] + s["n"]).cast("int").alias("b"), s["v"].alias("v")
+            ),
+        )
 
     # The last gap has no match behind it.
-    steps = F.filter(steps, lambda s: s["n"].isNotNull())
-    return F.when(found, F.aggregate(steps, start, go, lambda s: s["out"])).otherwise(F.array().cast(_PLACES))
+    gaps = F.slice(between, 1, F.size(whole))
+    steps = F.zip_with(
+        F.zip_with(whole, value, lambda n, v: F.struct(n.alias("n"), v.alias("v"))),
+        gaps,
+        lambda m, gap: F.struct(gap.alias("gap"), m["n"].alias("n"), m["v"].alias("v")),
+    )
+    return F.when(found, _let(steps, located)).otherwise(F.array().cast(_PLACES))
 
 
 def _rules(text: Column) -> dict[str, Column]:
@@ -78,33 +117,31 @@ class MarkovModels:
     ratios: list[float]
 
     def ratio(self, token: Column) -> Column:
-        # An unquoted list of numbers; the optimizer folds it into one array.
+        # An unquoted list of numbers, which becomes one array.
         table = F.split(F.lit(",".join(repr(r) for r in self.ratios)), ",").cast("array<double>")
 
-        def state(at):
-            return F.instr(F.lit(ALPHABET), F.substring(token, at, F.lit(1)))
+        # The characters are cut apart once, so a long token costs no more a character than a short one.
+        states = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
-        def add(total, at):
-            before = F.when(at == 1, F.lit(0)).otherwise(state(at - 1))
-            return total + F.element_at(table, before * STATES + state(at) + 1)
+        def total(after: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.slice(after, 1, F.size(after) - 1))
+            places = F.zip_with(before, after, lambda x, y: x * STATES + y + 1)
+            return _let(
+                table, lambda known: F.aggregate(places, F.lit(0.0), lambda s, at: s + F.element_at(known, at))
+            )
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(token)), F.lit(0.0), add)
+        return _let(states, total)
 
 
 def _counts(tokens: DataFrame) -> dict[tuple[int, int], int]:
     """Transitions of column v: (state before, state after) -> number; at most STATES * STATES rows."""
-    v = F.col("v")
-    shifted = tokens.select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length(v)),
-                lambda at: F.struct(
-                    F.when(at == 1, F.lit("")).otherwise(F.substring(v, at - 1, F.lit(1))).alias("x"),
-                    F.substring(v, at, F.lit(1)).alias("y"),
-                ),
-            )
-        ).alias("s")
+    characters = tokens.select(F.split("v", "").alias("c"))
+    pairs = F.zip_with(
+        F.concat(F.array(F.lit("")), F.slice("c", 1, F.size("c") - 1)),
+        F.col("c"),
+        lambda x, y: F.struct(x.alias("x"), y.alias("y")),
     )
+    shifted = characters.select(F.explode(pairs).alias("s"))
     rows = shifted.groupBy("s.x", "s.y").count().collect()
     place = {c: i for i, c in enumerate(ALPHABET, 1)} | {"": 0}
     return {(place[x], place[y]): n for x, y, n in rows if x in place and y in place}
@@ -189,18 +226,32 @@ def find_secrets(
         F.array_sort(F.concat(spans("assign", "assign"), spans("access", "access"), spans("hex", "hex"))).alias("base"),
         F.filter("tokens", random).alias("tokens"),
     )
-    rows = rows.select(
-        *names,
-        "base",
-        F.filter(
-            "tokens", lambda p: ~F.exists("base", lambda s: (s["start"] < p["b"]) & (p["a"] < s["end"]))
-        ).alias("tokens"),
-    )
+    found = F.array_sort(F.concat("base", spans("markov", "tokens")))
     return rows.select(
-        *names, "base", F.array_sort(F.concat("base", spans("markov", "tokens"))).alias("spans")
+        *names, "base", F.when(F.size("tokens") > 0, _let(found, _clear)).otherwise(F.col("base")).alias("spans")
     ).toDF(*keep, "base", "spans")
 
 
+def _clear(spans: Column) -> Column:
+    """Sorted spans without those of the models that overlap one of the rules."""
+    rank, far = KINDS.index("markov"), 1 << 40
+
+    def own(value: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda s: F.when(s["rank"] < rank, value(s).cast("bigint")).otherwise(F.lit(-far))
+
+    # Up to where the rules' spans before one reach, and where the next one begins (as a negative number).
+    reach = _running(F.transform(spans, own(lambda s: s["end"])), F.greatest, -far)
+    following = F.reverse(_running(F.transform(F.reverse(spans), own(lambda s: -s["start"])), F.greatest, -far))
+    around = F.zip_with(reach, following, lambda r, n: F.struct(r.alias("reach"), (-n).alias("next")))
+    both = F.zip_with(spans, around, lambda s, a: F.struct(s.alias("span"), a.alias("near")))
+    free = F.filter(
+        both,
+        lambda e: (e["span"]["rank"] < rank)
+        | ((e["near"]["reach"] <= e["span"]["start"]) & (e["near"]["next"] >= e["span"]["end"])),
+    )
+    return F.transform(free, lambda e: e["span"])
+
+
 def listed(spans: Column) -> Column:
     """Spans as text: kind:start:end, comma-joined."""
     return F.array_join(

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.storage import join_small
 from tablewright.llm.common import column, pieces, written
+from tablewright.types import TablewrightError
 
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A50
@@ -48,19 +49,39 @@ REMEMBERED_WORDS = 700_000
 _LOOSE = re.compile(rb"([.,])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))(?=[ \t-\r])")
 
 
+def splits_words(tokenizer) -> bool:
+    """Whether a text's ids are those of its lower-cased words, one after the other.
+
+    So it is if the normalizer lower-cases, the pre-tokenizer leaves white space out, and words end in a mark, by
+    which they are told apart.
+    """
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    if not getattr(tokenizer.model, "end_of_word_suffix", None):
+        return False
+    if tokenizer.normalizer.normalize_str("ABCXYZ\u00c9 a") != "abcxyz\u00e9 a":
+        return False
+    spaced = "one  two\tthree\n\nfour \x0b\x0c\r five"
+    found = [piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(spaced)]
+    return found == spaced.split()
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer file, remembering the ids of words.
 
-    It relies on what holds for the word tokenizer: white space is dropped and nothing reaches across it, and
-    ASCII case does not matter outside of special tokens. ``split_words=False`` hands whole texts over instead,
-    which suits any tokenizer.
+    That takes a tokenizer that drops white space, so that nothing reaches across it, and lower-cases. Whether the
+    file's is one is found out from the file; any other gets whole texts. ``split_words=False`` hands whole texts
+    over in any case.
     """
 
-    def __init__(self, path: str, split_words: bool = True):
+    def __init__(self, path: str, split_words: bool | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split_words = split_words
+        able = splits_words(self.tokenizer)
+        if split_words and not able:
+            raise TablewrightError(f"The tokenizer of {path} cannot be given words one by one.")
+        self.split_words = able if split_words is None else split_words
         self.known: dict[bytes, bytes] = {}
         # Ids that end a word, where the vocabulary marks them.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -110,7 +131,7 @@ class WordEncoder:
                 self.known[unit] = np.array(encoded.ids, "<u4").tobytes()
 
 
-def worker_encoder(path: str, split_words: bool) -> WordEncoder:
+def worker_encoder(path: str, split_words: bool | None) -> WordEncoder:
     """The encoder that this Python worker keeps from task to task."""
     kept = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__
     key = f"{path} {split_words}"
@@ -219,11 +240,12 @@ def write_token_files(
     end_id: int | None = 1,
     doc_id: str = "doc_id",
     text: str = "text",
-    split_words: bool = True,
+    split_words: bool | None = None,
 ) -> DataFrame:
     """Encodes every whole text and writes the ids, in ascending order of ``doc_id``, below ``folder``.
 
-    ``tokenizer`` is the path of a vocabulary file that every worker has. Returns the manifest: file, n_docs,
+    ``tokenizer`` is the path of a vocabulary file that every worker has; ``split_words`` is as in WordEncoder.
+    Returns the manifest: file, n_docs,
     n_ids, start (ids in all files before it). Documents are range-partitioned by id, so file names sort as
     their documents do; a file ends at FILE_BYTES.
 

@@ -16,6 +16,7 @@ from tablewright.functions.storage import scratch_path
 from tablewright.llm import QUERIES, tokens
 from tablewright.llm.packing import optimal_boundaries, pack
 from tablewright.llm.tokens import FrameWriter, SeekableFile, WordEncoder, lookup, read_token_files, write_token_files
+from tablewright.types import TablewrightError
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(VOCABULARY)
@@ -161,3 +162,19 @@ def test_packing_of_empty_tables(spark):
 def test_packing_query(spark, sf):
     got = QUERIES["op8_packing"](spark, sf)
     assert sorted((tuple(r) for r in got.collect()), key=str) == pack_by_hand(texts(spark, sf).items(), 2048, 16, 65_536)
+
+
+def test_any_tokenizer_gets_its_own_ids(spark, tmp_path):
+    """What is passed word by word is decided from the tokenizer's file."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    given = ["Hello World. A  b", "", "tab\tand\n\nlines \u00c9\u00e9", "MiXeD   CaSe"]
+    rows = [(i, t) for i, t in enumerate(given)]
+    own = Tokenizer.from_file(file)
+    assert not WordEncoder(file).split_words and WordEncoder(VOCABULARY).split_words
+    expected = [own.encode(t, add_special_tokens=False).ids for t in given]
+    assert [np.frombuffer(b, "<u4").tolist() for b in WordEncoder(file).encode(given)] == expected
+    manifest = write_token_files(documents(spark, rows), f"{tmp_path}/files", file, end_id=None)
+    read = by_id(read_token_files(spark, f"{tmp_path}/files", manifest))
+    assert [np.frombuffer(read[i]["ids"], "<u4").tolist() for i in range(len(given))] == expected
+    with pytest.raises(TablewrightError, match="one by one"):
+        WordEncoder(file, split_words=True)
