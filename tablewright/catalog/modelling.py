@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.catalog.registry import query, rounded, table
@@ -18,7 +18,7 @@ from tablewright.operators.clusters import (
     silhouette_points,
 )
 from tablewright.operators.dbscan import build_grid, core_points, dbscan, neighbor_counts
-from tablewright.operators.hierarchy import labels_for, merge, micro_clusters
+from tablewright.operators.hierarchy import merge, micro_clusters
 from tablewright.operators.models import REGISTRY
 from tablewright.plans import clustering, supervised
 from tablewright.plans.profile import profile
@@ -453,17 +453,45 @@ def _(spark, folder):
 def _(spark, folder):
     points = embedded(spark, folder).drop("label")
     micro = micro_clusters(points, points.count())
-    tables = [
-        cluster_sizes(labels_for(micro, clusters)).select(
-            F.lit(linkage).alias("linkage"), F.lit(k).alias("k"), "label", "size"
-        )
+    cuts = [
+        clusters.select(F.lit(linkage).alias("linkage"), F.lit(k).alias("k"), "label", "cluster")
         for linkage in ("ward", "average")
         for k, clusters in merge(micro, [2, 3, 4, 5], linkage).items()
     ]
-    result = tables[0]
-    for other in tables[1:]:
-        result = result.unionByName(other)
-    return result
+    # All cuts at once: a micro-cluster's rows fall to one cluster in each.
+    joined = micro.summary.select("label", "size").join(reduce(DataFrame.unionByName, cuts), "label")
+    sizes = joined.groupBy("linkage", "k", "cluster").agg(F.sum("size").alias("size"))
+    return sizes.withColumnRenamed("cluster", "label")
+
+
+GROUPS = 4
+
+
+@query(
+    "separated_clusters",
+    f"""select algorithm, count(*)::bigint as size from customer, (values ('kmeans'), ('agglomerative_clustering ward'),
+    ('agglomerative_clustering average'), ('dbscan')) t(algorithm) group by algorithm, c_custkey % {GROUPS}""",
+)
+def _(spark, folder):
+    """Groups that lie far apart: every algorithm has to find exactly them."""
+    x = F.array((F.col("c_custkey") % GROUPS) * 1000 + F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double"))
+    points = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), x.alias("x"), F.lit(1).cast("bigint").alias("w")
+    )
+    n = points.count()
+    grids = {
+        "kmeans": [{"n_clusters": GROUPS}],
+        "agglomerative_clustering": [{"n_clusters": GROUPS, "linkage": k} for k in ("ward", "average")],
+        "dbscan": [{"eps": 30.0, "min_samples": 3}],
+    }
+    sizes = [
+        cluster_sizes(found.labelled).select(
+            F.lit(f"{spec.key} {found.params.get('linkage', '')}".strip()).alias("algorithm"), "size"
+        )
+        for spec in clustering.CLUSTERERS
+        for found in spec.fit(points, n, grids[spec.key])
+    ]
+    return reduce(DataFrame.unionByName, sizes)
 
 
 @query("cluster_projection")

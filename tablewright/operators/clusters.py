@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.expressions import ratio
-from tablewright.functions.storage import join_small
+from tablewright.functions.storage import cut_lineage, join_small
 from tablewright.operators.points import distances, over_block_pairs, squared_distance
 from tablewright.types import LIMITS
 
 NOISE = -1
 # The silhouette's distances: plain ones at every size, or the closed form over squared ones.
 EUCLIDEAN, SQUARED = "silhouette", "silhouette_sq"
+# Decimals of a score by which clusterings are compared.
+DIGITS = 12
 
 
 def cluster_counts(labelled: DataFrame) -> DataFrame:
@@ -47,37 +49,57 @@ def cluster_sizes(labelled: DataFrame) -> DataFrame:
 
 def distance_sums(labelled: DataFrame, n: int) -> DataFrame:
     """(id, label, w, other, dist): summed distance from each point to each cluster."""
+    given = labelled.select("id", "x", "w", F.array(F.col("label").cast("bigint")).alias("labels"))
+    return many_distance_sums(given, n).drop("labeling")
 
-    def sums(a: pd.DataFrame, b: pd.DataFrame, dist: np.ndarray) -> pd.DataFrame:
-        labels, codes = np.unique(b["label"].to_numpy(), return_inverse=True)
-        member = np.zeros((len(b), len(labels)))
-        member[np.arange(len(b)), codes] = b["w"].to_numpy()
-        total = dist @ member
-        k = len(labels)
-        return pd.DataFrame(
-            {
-                "id": np.repeat(a["id"].to_numpy(), k),
-                "label": np.repeat(a["label"].to_numpy(), k),
-                "w": np.repeat(a["w"].to_numpy(), k),
-                "other": np.tile(labels, len(a)),
-                "dist": total.ravel(),
-            }
-        )
+
+def many_distance_sums(labelled: DataFrame, n: int) -> DataFrame:
+    """(id, labeling, label, w, other, dist) for points with ``labels``, one label for each of several labelings.
+
+    Every distance is computed once, however many labelings there are. Noise is left out on both sides.
+    """
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame, dist: np.ndarray):
+        own, others = np.stack(a["labels"].to_numpy()), np.stack(b["labels"].to_numpy())
+        ids, copies = a["id"].to_numpy(), a["w"].to_numpy()
+        weighted = dist * b["w"].to_numpy()[None, :]
+        for k in range(own.shape[1]):
+            rows, real = own[:, k] != NOISE, np.flatnonzero(others[:, k] != NOISE)
+            if not rows.any() or not len(real):
+                continue
+            # Columns in order of their labels, so that each cluster is one run of them.
+            order = real[np.argsort(others[real, k], kind="stable")]
+            labels, starts = np.unique(others[order, k], return_index=True)
+            total = np.add.reduceat(weighted[np.ix_(rows, order)], starts, axis=1)
+            each = len(labels)
+            yield pd.DataFrame(
+                {
+                    "id": np.repeat(ids[rows], each),
+                    "labeling": np.int32(k),
+                    "label": np.repeat(own[rows, k], each),
+                    "w": np.repeat(copies[rows], each),
+                    "other": np.tile(labels, int(rows.sum())),
+                    "dist": total.ravel(),
+                }
+            )
+
+    shape = ["id", "labeling", "label", "w", "other", "dist"]
 
     def compare(a: pd.DataFrame, b: pd.DataFrame):
         dist = distances(np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()))
-        yield sums(a, b, dist)
-        yield sums(b, a, dist.T)
+        for first, second, gaps in ((a, b, dist), (b, a, dist.T)):
+            parts = list(sums(first, second, gaps))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=shape)
 
     id_type = labelled.schema["id"].dataType.simpleString()
     parts = over_block_pairs(
-        labelled.select("id", "x", "w", "label"),
+        labelled.select("id", "x", "w", "labels"),
         "id",
         n,
         compare,
-        f"id {id_type}, label bigint, w bigint, other bigint, dist double",
+        f"id {id_type}, labeling int, label bigint, w bigint, other bigint, dist double",
     )
-    return parts.groupBy("id", "label", "w", "other").agg(F.sum("dist").alias("dist"))
+    return parts.groupBy("id", "labeling", "label", "w", "other").agg(F.sum("dist").alias("dist"))
 
 
 def cluster_distance_sums(labelled: DataFrame, n: int) -> DataFrame:
@@ -109,12 +131,17 @@ def cluster_distance_sums(labelled: DataFrame, n: int) -> DataFrame:
 
 def silhouette_points(labelled: DataFrame, n: int) -> DataFrame:
     """(id, label, w, silhouette) from all Euclidean distances; members of singletons get 0."""
-    real = labelled.where(F.col("label") != NOISE)
-    sizes = cluster_sizes(real)
-    sums = distance_sums(real, n)
+    given = labelled.select("id", "x", "w", F.array(F.col("label").cast("bigint")).alias("labels"))
+    return many_silhouette_points(given, n).drop("labeling")
+
+
+def many_silhouette_points(labelled: DataFrame, n: int) -> DataFrame:
+    """(id, labeling, label, w, silhouette) for every labeling of points with ``labels``."""
+    each = labelled.select("w", F.posexplode("labels").alias("labeling", "other")).where(F.col("other") != NOISE)
+    sizes = each.groupBy("labeling", "other").agg(F.sum("w").alias("size"))
     own = F.col("label") == F.col("other")
-    means = sums.join(sizes.withColumnRenamed("label", "other"), "other").groupBy(
-        "id", "label", "w"
+    means = many_distance_sums(labelled, n).join(sizes, ["labeling", "other"]).groupBy(
+        "id", "labeling", "label", "w"
     ).agg(
         F.max(F.when(own, F.col("size"))).alias("size"),
         F.max(F.when(own, ratio(F.col("dist"), F.col("size") - 1))).alias("a"),
@@ -122,21 +149,14 @@ def silhouette_points(labelled: DataFrame, n: int) -> DataFrame:
     )
     score = ratio(F.col("b") - F.col("a"), F.greatest("a", "b"), 0.0)
     return means.select(
-        "id", "label", "w", F.when(F.col("size") == 1, 0.0).otherwise(score).alias("silhouette")
+        "id", "labeling", "label", "w", F.when(F.col("size") == 1, 0.0).otherwise(score).alias("silhouette")
     )
 
 
-def silhouette(
-    labelled: DataFrame, n: int, max_exact: int | None = None, score: str = EUCLIDEAN
-) -> tuple[str, float]:
-    """(metric name, mean score) over all rows, noise left out.
-
-    ``score`` says which distances count, whatever the size. Only a caller who gives ``max_exact`` gets the
-    squared form for more distinct points than that.
-    """
-    if score not in (EUCLIDEAN, SQUARED):
-        raise ValueError(f"score must be {EUCLIDEAN} or {SQUARED}, not {score}")
-    if score == EUCLIDEAN and (max_exact is None or n <= max_exact):
+def silhouette(labelled: DataFrame, n: int, score: str = EUCLIDEAN) -> tuple[str, float]:
+    """(metric name, mean score) over all rows, noise left out; ``score`` says which distances count, whatever the size."""
+    _check_score(score)
+    if score == EUCLIDEAN:
         per_point = silhouette_points(labelled, n)
         row = per_point.agg((F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("s")).first()
         return EUCLIDEAN, row["s"]
@@ -148,6 +168,11 @@ def silhouette(
     return SQUARED, ClusteringEvaluator(weightCol="weight").evaluate(real)
 
 
+def _check_score(score: str) -> None:
+    if score not in (EUCLIDEAN, SQUARED):
+        raise ValueError(f"score must be {EUCLIDEAN} or {SQUARED}, not {score}")
+
+
 def centroids(labelled: DataFrame) -> DataFrame:
     """(label, size, centroid, spread): spread is the mean distance of members to the centroid."""
     real = labelled.where(F.col("label") != NOISE)
@@ -172,43 +197,90 @@ def davies_bouldin(labelled: DataFrame, n_clusters: int) -> DataFrame:
 
     Clusters whose centroids coincide do not count against each other.
     """
+    found = centroids(labelled).withColumn("labeling", F.lit(0))
+    return _davies_bouldin(found, n_clusters).select("davies_bouldin")
+
+
+def _davies_bouldin(clusters: DataFrame, total: int) -> DataFrame:
+    """(labeling, davies_bouldin) from the (labeling, label, centroid, spread) of ``total`` clusters in all."""
 
     def worst(a: pd.DataFrame, b: pd.DataFrame, dist: np.ndarray) -> pd.DataFrame:
         spread = a["spread"].to_numpy()[:, None] + b["spread"].to_numpy()[None, :]
-        ratios = np.divide(spread, dist, out=np.zeros_like(dist), where=dist > 0)
-        return pd.DataFrame({"label": a["label"].to_numpy(), "worst": ratios.max(axis=1)})
+        same = a["labeling"].to_numpy()[:, None] == b["labeling"].to_numpy()[None, :]
+        ratios = np.divide(spread, dist, out=np.zeros_like(dist), where=(dist > 0) & same)
+        return pd.DataFrame(
+            {"labeling": a["labeling"].to_numpy(), "label": a["label"].to_numpy(), "worst": ratios.max(axis=1)}
+        )
 
     def compare(a: pd.DataFrame, b: pd.DataFrame):
         dist = distances(np.stack(a["centroid"].to_numpy()), np.stack(b["centroid"].to_numpy()))
         yield worst(a, b, dist)
         yield worst(b, a, dist.T)
 
-    parts = over_block_pairs(
-        centroids(labelled).select(F.col("label").cast("bigint").alias("label"), "centroid", "spread"),
-        "label",
-        n_clusters,
-        compare,
-        "label bigint, worst double",
-    )
-    per_cluster = parts.groupBy("label").agg(F.max("worst").alias("worst"))
-    return per_cluster.agg(F.avg("worst").alias("davies_bouldin"))
+    given = clusters.select("labeling", F.col("label").cast("bigint").alias("label"), "centroid", "spread")
+    keyed = given.withColumn("key", F.concat_ws(" ", "labeling", "label"))
+    shape = "labeling int, label bigint, worst double"
+    parts = over_block_pairs(keyed, "key", total, compare, shape)
+    per_cluster = parts.groupBy("labeling", "label").agg(F.max("worst").alias("worst"))
+    return per_cluster.groupBy("labeling").agg(F.avg("worst").alias("davies_bouldin"))
 
 
-def score_clustering(
-    labelled: DataFrame, n: int, max_exact: int | None = None, score: str = EUCLIDEAN
-) -> dict[str, float] | None:
+def score_clustering(labelled: DataFrame, n: int, score: str = EUCLIDEAN) -> dict[str, float] | None:
     """The metrics of a clustering, or None if it is not a valid one."""
-    counts = cluster_counts(labelled).first()
-    if not counts["is_valid"]:
-        return None
-    name, value = silhouette(labelled, n, max_exact, score)
-    scatter = davies_bouldin(labelled, counts["n_clusters"]).first()["davies_bouldin"]
-    return {
-        name: value,
-        "davies_bouldin": scatter,
-        "n_clusters": float(counts["n_clusters"]),
-        "noise_points": float(counts["noise_points"]),
+    given = labelled.select("id", "x", "w", F.array(F.col("label").cast("bigint")).alias("labels"))
+    return score_labelings(given, n, score)[0]
+
+
+def score_labelings(labelled: DataFrame, n: int, score: str = EUCLIDEAN) -> list[dict[str, float] | None]:
+    """The metrics of every labeling of points with ``labels``, in order; None for those that are not valid.
+
+    Distances between points are computed once for all of them, and so are the distances to the centroids.
+    """
+    _check_score(score)
+    rows = labelled.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("rows"), F.max(F.size("labels")).alias("labelings")).first()
+    each = labelled.select("x", F.col("w"), F.posexplode("labels").alias("labeling", "label")).where(F.col("label") != NOISE)
+    centre = Summarizer.mean(array_to_vector("x"), F.col("w").cast("double"))
+    centres = cut_lineage(
+        each.groupBy("labeling", "label").agg(vector_to_array(centre).alias("centroid"), F.sum("w").alias("size"))
+    )
+    # One row per labeling.
+    counts = {
+        r["labeling"]: (r["clusters"], r["size"])
+        for r in centres.groupBy("labeling").agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("size")).collect()
     }
+    valid = [k for k in range(rows["labelings"] or 0) if 2 <= counts.get(k, (0, 0))[0] < rows["rows"]]
+    if not valid:
+        return [None] * (rows["labelings"] or 0)
+    kept = F.col("labeling").isin(valid)
+    # Sent to all tasks only where Spark finds it small.
+    away = F.sqrt(squared_distance(F.col("x"), F.col("centroid")))
+    spreads = each.where(kept).join(centres, ["labeling", "label"]).groupBy("labeling", "label").agg(
+        F.first("centroid").alias("centroid"), (F.sum(away * F.col("w")) / F.sum("w")).alias("spread")
+    )
+    total = sum(counts[k][0] for k in valid)
+    scatter = {r["labeling"]: r["davies_bouldin"] for r in _davies_bouldin(spreads, total).collect()}
+    if score == EUCLIDEAN:
+        mine = labelled.select("id", "x", "w", F.array(*[F.col("labels")[k] for k in valid]).alias("labels"))
+        means = many_silhouette_points(mine, n).groupBy("labeling").agg(
+            (F.sum(F.col("silhouette") * F.col("w")) / F.sum("w")).alias("s")
+        )
+        values = {valid[r["labeling"]]: r["s"] for r in means.collect()}
+    else:
+        values = {
+            k: silhouette(labelled.select("id", "x", "w", F.col("labels")[k].alias("label")), n, score)[1] for k in valid
+        }
+    # The same clustering under other labels adds up in another order: what that changes does not count.
+    return [
+        {
+            score: round(values[k], DIGITS),
+            "davies_bouldin": round(scatter[k], DIGITS),
+            "n_clusters": float(counts[k][0]),
+            "noise_points": float(rows["rows"] - counts[k][1]),
+        }
+        if k in valid
+        else None
+        for k in range(rows["labelings"])
+    ]
 
 
 def projection(points: DataFrame, limit: int = LIMITS.chart_points) -> DataFrame:

@@ -5,26 +5,29 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.storage import cut_lineage
+from tablewright.functions.threads import at_once
 from tablewright.operators.clean import check_config, clean, few_rows_issue
 from tablewright.operators.clusters import (
     EUCLIDEAN,
     cluster_sizes,
     projection,
-    score_clustering,
+    score_labelings,
 )
 from tablewright.operators.dbscan import build_grid, dbscan
-from tablewright.operators.hierarchy import labels_for, merge, micro_clusters
+from tablewright.operators.hierarchy import MICRO_CLUSTERS, labels_for, merge, micro_clusters
+from tablewright.operators.kmeans import best_runs, kmeans_runs
 from tablewright.operators.points import points_of
 from tablewright.operators.prepare import FEATURES, fit_features
 from tablewright.plans.results import ModelOutcome, Run
@@ -36,6 +39,8 @@ INVALID = (
 )
 # K-Means restarts per k.
 RESTARTS = 10
+# Searches of one algorithm that run side by side.
+PARALLELISM = 4
 
 
 @dataclass(frozen=True)
@@ -60,58 +65,55 @@ class ClusterSpec:
 
 
 def _fit_kmeans(points: DataFrame, n: int, combos: list[dict[str, Any]], restarts: int = RESTARTS):
-    vectors = points.select("*", array_to_vector("x").alias(FEATURES), F.col("w").cast("double").alias("_w"))
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for params in combos:
-            try:
-                models = [
-                    KMeans(
-                        k=params["n_clusters"],
-                        seed=SEED + restart,
-                        maxIter=300,
-                        tol=1e-4,
-                        featuresCol=FEATURES,
-                        weightCol="_w",
-                        predictionCol="_p",
-                    ).fit(vectors)
-                    for restart in range(restarts)
-                ]
-                best = min(models, key=lambda m: m.summary.trainingCost)
-                labels = best.transform(vectors).select(
-                    "id", "x", "w", F.col("_p").cast("bigint").alias("label")
-                )
-                yield Fitted(params, labels, best)
-            except PySparkException as exc:
-                yield params, exc
-    finally:
-        vectors.unpersist()
+    best = best_runs(kmeans_runs(points, sorted({p["n_clusters"] for p in combos}), restarts))
+    vectors = points.select("id", "x", "w", array_to_vector("x").alias(FEATURES))
+    for params in combos:
+        try:
+            model = kmeans_model(points.sparkSession, best[params["n_clusters"]].centres)
+            labels = model.transform(vectors).select("id", "x", "w", F.col("_p").cast("bigint").alias("label"))
+            yield Fitted(params, labels, model)
+        except PySparkException as exc:
+            yield params, exc
+
+
+def kmeans_model(spark: SparkSession, centres) -> KMeansModel:
+    """Spark's own model with these centres: K-Means over the centres alone leaves them where they are."""
+    rows = spark.createDataFrame([(Vectors.dense(c),) for c in centres], [FEATURES])
+    return KMeans(k=len(centres), initMode="random", maxIter=1, seed=SEED, featuresCol=FEATURES, predictionCol="_p").fit(rows)
 
 
-def _fit_hierarchy(points: DataFrame, n: int, combos: list[dict[str, Any]]):
-    micro = micro_clusters(points, n)
+def _fit_hierarchy(points: DataFrame, n: int, combos: list[dict[str, Any]], micro_count: int = MICRO_CLUSTERS):
+    micro = micro_clusters(points, n, micro_count)
     ks = sorted({p["n_clusters"] for p in combos})
-    cuts = {linkage: merge(micro, ks, linkage) for linkage in {p["linkage"] for p in combos}}
+    cuts = {linkage: merge(micro, ks, linkage) for linkage in dict.fromkeys(p["linkage"] for p in combos)}
     for params in combos:
         clusters = cuts[params["linkage"]].get(params["n_clusters"])
+        # How coarse the leaves of the tree are is part of the result.
+        params = params | {"micro_clusters": micro.count}
         if clusters is None:
             yield params, ValueError("fewer points than clusters")
         else:
             yield Fitted(params, labels_for(micro, clusters))
 
 
-def _fit_dbscan(points: DataFrame, n: int, combos: list[dict[str, Any]]):
-    grids: dict[float, Any] = {}
-    for params in combos:
-        try:
-            eps = params["eps"]
-            if eps not in grids:
-                grids = {eps: build_grid(points, eps)}
-            found = dbscan(points, eps, params["min_samples"], grids[eps])
-            labelled = points.select("id", "x", "w").join(found.drop("is_core"), "id")
-            yield Fitted(params, cut_lineage(labelled))
-        except PySparkException as exc:
-            yield params, exc
+def _fit_dbscan(points: DataFrame, n: int, combos: list[dict[str, Any]], parallelism: int = PARALLELISM):
+    """One grid of cells per eps, shared by its grid points; the searches of different eps run side by side."""
+
+    def of_eps(eps: float) -> list[Fitted | tuple[dict, Exception]]:
+        found, grid = [], None
+        for params in (p for p in combos if p["eps"] == eps):
+            try:
+                grid = grid or build_grid(points, eps)
+                labels = dbscan(points, eps, params["min_samples"], grid).drop("is_core")
+                found.append(Fitted(params, cut_lineage(points.select("id", "x", "w").join(labels, "id"))))
+            except PySparkException as exc:
+                found.append((params, exc))
+        return found
+
+    jobs = [lambda eps=eps: of_eps(eps) for eps in dict.fromkeys(p["eps"] for p in combos)]
+    made = [f for found in at_once(points.sparkSession, jobs, parallelism) for f in found]
+    place = {id(p): i for i, p in enumerate(combos)}
+    yield from sorted(made, key=lambda f: place[id(f.params if isinstance(f, Fitted) else f[0])])
 
 
 # The three algorithms and the parameter values each one tries.
@@ -136,7 +138,6 @@ def train(
     df: DataFrame,
     config: TaskConfig,
     models: list[ClusterSpec] | None = None,
-    max_exact: int | None = None,
     score: str = EUCLIDEAN,
 ) -> Run:
     """Cluster all clean rows with every algorithm; there is no split and no target.
@@ -153,10 +154,7 @@ def train(
     if totals["rows"] < LIMITS.min_rows:
         raise ConfigError(few_rows_issue(totals["rows"]))
     plane = projection(points)
-    outcomes = [
-        cluster_one(spec, points, totals["n"], prepared, plane, max_exact, score)
-        for spec in (models or CLUSTERERS)
-    ]
+    outcomes = cluster_all(models or CLUSTERERS, points, totals["n"], prepared, plane, score)
     return Run(config, totals["rows"], 0, outcomes, df.sparkSession)
 
 
@@ -166,51 +164,100 @@ def cluster_one(
     n: int,
     prepared: PipelineModel | None,
     plane: DataFrame | None = None,
-    max_exact: int | None = None,
     score: str = EUCLIDEAN,
 ) -> ModelOutcome:
     """Best valid grid point by silhouette; the earlier one on a tie, failed ones left out."""
+    return cluster_all([spec], points, n, prepared, plane, score)[0]
+
+
+@dataclass
+class _Attempt:
+    """What the grid points of one algorithm gave: a clustering each, or none; and why all of them failed, if so."""
+
+    spec: ClusterSpec
+    tried: list[tuple[dict[str, Any], Fitted | None]]
+    seconds: float
+    warning: str | None = None
+
+
+def cluster_all(
+    specs: list[ClusterSpec],
+    points: DataFrame,
+    n: int,
+    prepared: PipelineModel | None,
+    plane: DataFrame | None = None,
+    score: str = EUCLIDEAN,
+) -> list[ModelOutcome]:
+    """The outcome of every algorithm. All their clusterings are scored together, over distances computed once."""
+    attempts = [_attempt(spec, points, n) for spec in specs]
+    fitted = [f for attempt in attempts for _, f in attempt.tried if f is not None]
     started = time.perf_counter()
-    best, scores, search = None, None, []
+    labelled = _side_by_side(points, fitted) if fitted else None
+    metrics = score_labelings(labelled, n, score) if fitted else []
+    each = (time.perf_counter() - started) / max(1, len(fitted))
+    outcomes, at = [], 0
+    for attempt in attempts:
+        search, best = [], None
+        for params, found in attempt.tried:
+            value = None
+            if found is not None:
+                value = _silhouette(metrics[at])
+                if value is not None and (best is None or value > _silhouette(metrics[best[0]])):
+                    best = (at, found)
+                at += 1
+                attempt.seconds += each
+            search.append((_text(params), value))
+        outcomes.append(_outcome(attempt, search, best, metrics, labelled, prepared, plane))
+    return outcomes
+
+
+def _attempt(spec: ClusterSpec, points: DataFrame, n: int) -> _Attempt:
+    started = time.perf_counter()
+    tried: list[tuple[dict[str, Any], Fitted | None]] = []
+    warning = None
     try:
-        for tried in spec.fit(points, n, spec.combinations()):
-            if not isinstance(tried, Fitted):
-                search.append((_text(tried[0]), None))
-                continue
-            metrics = score_clustering(tried.labelled, n, max_exact, score)
-            value = _silhouette(metrics)
-            search.append((_text(tried.params), value))
-            if value is not None and (best is None or value > _silhouette(scores)):
-                best, scores = tried, metrics
+        for found in spec.fit(points, n, spec.combinations()):
+            tried.append((found.params, found) if isinstance(found, Fitted) else (found[0], None))
     except (PySparkException, ValueError) as exc:
-        best, warning = None, str(exc)
-    else:
-        warning = None if best else INVALID
-    seconds = time.perf_counter() - started
+        tried, warning = [(params, None) for params, _ in tried], str(exc)
+    return _Attempt(spec, tried, time.perf_counter() - started, warning)
+
+
+def _side_by_side(points: DataFrame, fitted: list[Fitted]) -> DataFrame:
+    """The points with ``labels``: their label in each of the clusterings."""
+    parts = [f.labelled.select("id", F.lit(i).alias("at"), F.col("label").cast("bigint").alias("label")) for i, f in enumerate(fitted)]
+    listed = F.sort_array(F.collect_list(F.struct("at", "label")))
+    labels = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.transform(listed, lambda s: s["label"]).alias("labels"))
+    return cut_lineage(points.select("id", "x", "w").join(labels, "id"))
+
+
+def _outcome(attempt, search, best, metrics, labelled, prepared, plane) -> ModelOutcome:
+    spec = attempt.spec
     if best is None:
-        return ModelOutcome(
-            spec.key, spec.display_name, "failed", seconds, warning=warning, search=search
-        )
-    labelled = cut_lineage(best.labelled)
-    charts = {"cluster_sizes": cluster_sizes(labelled)}
+        warning = attempt.warning or INVALID
+        return ModelOutcome(spec.key, spec.display_name, "failed", attempt.seconds, warning=warning, search=search)
+    started = time.perf_counter()
+    place, found = best
+    mine = labelled.select("id", "x", "w", F.col("labels")[place].alias("label"))
+    charts = {"cluster_sizes": cluster_sizes(mine)}
     if plane is not None:
-        charts["pca_projection"] = plane.join(labelled.select("id", "label"), "id").select(
+        charts["pca_projection"] = plane.join(mine.select("id", "label"), "id").select(
             "x", "y", F.col("label").cast("string").alias("cluster")
         )
     stages = list(prepared.stages) if prepared else []
-    if best.model is not None:
-        stages.append(best.model.setPredictionCol("prediction"))
+    if found.model is not None:
+        stages.append(found.model.setPredictionCol("prediction"))
     return ModelOutcome(
         spec.key,
         spec.display_name,
         "success",
-        time.perf_counter() - started,
-        _text(best.params),
-        scores,
+        attempt.seconds + time.perf_counter() - started,
+        _text(found.params),
+        metrics[place],
         pipeline=PipelineModel(stages=stages),
         charts=charts,
         search=search,
-        assignments=labelled.select("id", "w", "label"),
+        assignments=mine.select("id", "w", "label"),
     )
 
 

@@ -8,19 +8,19 @@ boosting with fewer rounds is the beginning of a longer run, smaller forests are
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.storage import shared_dir
+from tablewright.functions.threads import at_once
 from tablewright.operators.models import LABEL, PREDICTION, ModelSpec
 from tablewright.operators.prepare import FEATURES, feature_stages
 from tablewright.operators.products import WIDEST, fold_products, least_squares
@@ -70,7 +70,7 @@ class FoldTables:
     def prepare(self) -> None:
         """Fit the stages of all folds, side by side."""
         missing = [f for f in self.folds if f not in self._sides]
-        _at_once(self.train.sparkSession, [lambda f=f: self.side(f) for f in missing], len(missing))
+        at_once(self.train.sparkSession, [lambda f=f: self.side(f) for f in missing], len(missing))
 
     def release(self) -> None:
         for side in self._sides.values():
@@ -89,19 +89,6 @@ class Found:
     fitted: PipelineModel
 
 
-def _at_once(spark: SparkSession, jobs: list[Callable[[], Any]], parallelism: int) -> list:
-    if len(jobs) < 2:
-        return [job() for job in jobs]
-    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs)))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
-
-
-def evaluator(task: str):
-    if task == REGRESSION:
-        return RegressionEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="rmse")
-    return MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName="f1")
-
-
 def search(spec: ModelSpec, tables: FoldTables, parallelism: int = 4) -> Found:
     """Score every grid point on every fold, then fit the best one on all training rows.
 
@@ -113,7 +100,7 @@ def search(spec: ModelSpec, tables: FoldTables, parallelism: int = 4) -> Found:
     jobs = [lambda g=g, f=f: g(f) for g in groups for f in g.folds]
     if any(g.by_fold for g in groups):
         tables.prepare()
-    outcomes = iter(_at_once(tables.train.sparkSession, jobs, parallelism))
+    outcomes = iter(at_once(tables.train.sparkSession, jobs, parallelism))
     by_point: dict[int, list[float]] = {i: [] for i in range(len(points))}
     failure: dict[int, PySparkException] = {}
     for group in groups:

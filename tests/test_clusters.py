@@ -4,12 +4,14 @@ import numpy as np
 import pytest
 
 from tablewright.operators import dbscan as density
+from tablewright.operators import kmeans
 from tablewright.operators.clusters import (
     cluster_counts,
     cluster_sizes,
     davies_bouldin,
     projection,
     score_clustering,
+    score_labelings,
     silhouette,
     silhouette_points,
 )
@@ -126,12 +128,6 @@ def test_davies_bouldin_by_hand(spark):
     assert davies_bouldin(frame(spark, same, [0, 0, 1, 1]), 2).first()["davies_bouldin"] == 0.0
 
 
-def test_large_tables_use_the_squared_form(spark, blobs):
-    x, labels = blobs
-    name, value = silhouette(frame(spark, x, labels), len(x), max_exact=10)
-    assert name == "silhouette_sq" and value > 0.9
-
-
 def test_score_does_not_switch_with_the_size(spark):
     x, labels = np.random.default_rng(11).normal(size=(30, 2)), np.arange(30) % 3
     df = frame(spark, x, labels)
@@ -204,10 +200,12 @@ def brute_merge(x, k, linkage):
 
 
 @pytest.mark.parametrize("linkage", ["ward", "average"])
-def test_merging_is_exact_on_small_tables(spark, linkage):
+@pytest.mark.parametrize("last", [1, 64])
+def test_merging_is_exact_on_small_tables(spark, linkage, last):
+    """In rounds down to the last pair, and on the driver alone."""
     x = np.random.default_rng(4).normal(size=(40, 2))
     micro = micro_clusters(frame(spark, x).drop("label"), 40)
-    for k, clusters in merge(micro, [2, 5], linkage).items():
+    for k, clusters in merge(micro, [2, 5, 20], linkage, last).items():
         rows = labels_for(micro, clusters).collect()
         found = {}
         for r in rows:
@@ -215,6 +213,17 @@ def test_merging_is_exact_on_small_tables(spark, linkage):
         assert {frozenset(g) for g in found.values()} == brute_merge(x, k, linkage)
 
 
+def test_merging_weighs_copies_and_survives_ties(spark):
+    """Points on a grid, all as far from the next: any order of merges is right, but sizes must add up."""
+    x = np.array([[float(i), float(j)] for i in range(6) for j in range(6)])
+    w = np.arange(36) % 3 + 1
+    micro = micro_clusters(frame(spark, x, w=w).drop("label"), 36)
+    for linkage in ("ward", "average"):
+        for k, clusters in merge(micro, [1, 3, 36, 40], linkage, 2).items():
+            rows = labels_for(micro, clusters).collect()
+            assert len({r["label"] for r in rows}) == k and sum(r["w"] for r in rows) == w.sum()
+
+
 def test_merging_micro_clusters_of_a_larger_table(spark, blobs):
     x, _ = blobs
     micro = micro_clusters(frame(spark, x[:30]).drop("label"), 30, m=8)
@@ -273,14 +282,68 @@ def test_clustering_run(run):
     assert run.winner == "kmeans"
 
 
-def test_kmeans_takes_the_best_of_ten_starts(spark, monkeypatch):
-    seeds, real = [], clustering.KMeans
-    monkeypatch.setattr(clustering, "KMeans", lambda **given: seeds.append(given["seed"]) or real(**given))
-    points = points_of(spark.range(40).selectExpr("double(id) as a"), ["a"])
-    assert len(list(clustering._fit_kmeans(points, 40, [{"n_clusters": 2}]))) == 1
-    assert len(set(seeds)) == len(seeds) == 10
-    assert len(list(clustering._fit_kmeans(points, 40, [{"n_clusters": 2}], restarts=2))) == 1
-    assert len(seeds) == 12
+def lloyd(x, w, centres, tol=1e-4, most=300):
+    for _ in range(most):
+        at = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        after = np.array([np.average(x[at == k], axis=0, weights=w[at == k]) if (at == k).any() else centres[k] for k in range(len(centres))])
+        step = ((after - centres) ** 2).sum(1).max()
+        centres = after
+        if step <= tol * tol:
+            break
+    return centres, (((x[:, None] - centres[None]) ** 2).sum(-1).min(1) * w).sum()
+
+
+def test_kmeans_runs_advance_like_each_alone(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x, w = rng.normal(size=(90, 3)), rng.integers(1, 4, 90)
+    points = frame(spark, x, w=w).drop("label").cache()
+    begun, starts = [], kmeans._starts
+    monkeypatch.setattr(kmeans, "_starts", lambda *given: begun.extend(starts(*given)) or [c.copy() for c in begun])
+    scans, sums = [], kmeans._sums
+    monkeypatch.setattr(kmeans, "_sums", lambda *given: scans.append(given[2]) or sums(*given))
+    runs = kmeans.kmeans_runs(points, [2, 5], restarts=3)
+    alone = [lloyd(x, w, c) for c in begun]
+    assert [r.k for r in runs] == [2, 2, 2, 5, 5, 5] and [len(c) for c in begun] == [2, 2, 2, 5, 5, 5]
+    for run, (centres, cost) in zip(runs, alone):
+        assert np.allclose(run.centres, centres) and run.cost == pytest.approx(cost)
+    # One scan an iteration for all runs together, four before and one after.
+    assert sum(scans) < 60 and len(scans) - sum(scans) == 4
+    best = kmeans.best_runs(runs)
+    assert best[5].cost == min(r.cost for r in runs if r.k == 5)
+
+
+def test_kmeans_takes_the_best_of_ten_starts(spark):
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(c, 0.05, (12, 2)) for c in ((0, 0), (0, 5), (5, 0), (5, 5), (20, 20))])
+    points = frame(spark, x).drop("label")
+    fitted = list(clustering._fit_kmeans(points, len(x), [{"n_clusters": 5}]))
+    labels = {r["id"]: r["label"] for r in fitted[0].labelled.collect()}
+    assert sorted(len({labels[i] for i in range(s, s + 12)}) for s in range(0, 60, 12)) == [1] * 5
+    assert len(set(labels.values())) == 5 and clustering.RESTARTS == 10
+    assert len(fitted[0].model.clusterCenters()) == 5
+
+
+def test_kmeans_with_few_or_equal_points(spark):
+    points = frame(spark, np.array([[1.0], [2.0]]), w=np.array([5, 1])).drop("label")
+    runs = kmeans.kmeans_runs(points, [2, 4], restarts=2)
+    assert [len(r.centres) for r in runs] == [2, 2, 2, 2] and all(r.cost == 0 for r in runs)
+    assert all(r.centres.size == 0 for r in kmeans.kmeans_runs(points.limit(0), [2], restarts=1))
+
+
+def test_many_labelings_score_like_each_alone(spark):
+    rng = np.random.default_rng(12)
+    x, w = rng.normal(size=(60, 2)), rng.integers(1, 3, 60)
+    labelings = [np.arange(60) % 3, np.where(np.arange(60) < 8, -1, np.arange(60) % 2), np.zeros(60, int), rng.integers(0, 9, 60), np.full(60, -1)]
+    df = frame(spark, x, w=w).drop("label")
+    table = spark.createDataFrame([(i, [int(c[i]) for c in labelings]) for i in range(60)], "id bigint, labels array<bigint>")
+    for score in ("silhouette", "silhouette_sq"):
+        together = score_labelings(df.join(table, "id"), 60, score)
+        for found, labels in zip(together, labelings):
+            one = score_clustering(frame(spark, x, labels, w=w), 60, score)
+            assert (found is None) == (one is None) == (len(set(labels) - {-1}) < 2)
+            assert found is None or found == pytest.approx(one)
+    value = brute_silhouette(np.repeat(x, w, axis=0), np.repeat(labelings[0], w)).mean()
+    assert score_labelings(df.join(table, "id"), 60)[0]["silhouette"] == pytest.approx(value)
 
 
 def test_no_valid_combination_is_a_failure(spark, run):
