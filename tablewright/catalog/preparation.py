@@ -258,3 +258,38 @@ def _(spark, folder):
 def _(spark, folder):
     split = holdout(table(spark, folder, "orders").select("o_orderstatus"))
     return split.groupBy("o_orderstatus", "is_test").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# One class per customer: as many classes as a table has keys.
+
+
+@query(
+    "split_many_classes",
+    f"""with sizes as (select o_custkey as g, count(*) as n from orders group by 1),
+    total as (select ceil(round(0.2 * sum(n), 9))::bigint as t, sum(n)::bigint as n from sizes),
+    quota as (select g, t * sizes.n // total.n as q, t * sizes.n % total.n as r, t from sizes, total),
+    given as (select g, q + (row_number() over (order by r desc, g) <= t - sum(q) over ())::int as q from quota)
+    select o_orderkey, o_custkey, rk <= q as is_test from (select o_orderkey, o_custkey,
+      row_number() over (partition by o_custkey order by {DIGEST}) as rk from orders)
+      join given on g = o_custkey""",
+)
+def _(spark, folder):
+    split = holdout(table(spark, folder, "orders"), ["o_orderkey"], by="o_custkey")
+    return split.select("o_orderkey", "o_custkey", "is_test")
+
+
+@query(
+    "folds_many_classes",
+    f"""with sizes as (select o_custkey as g, count(*) as n from orders group by 1),
+    turns as (select g, n, coalesce(sum(n % 3) over (order by g rows between unbounded preceding
+      and 1 preceding), 0)::bigint % 3 as t from sizes),
+    lengths as (select g, n, {", ".join(f"n // 3 + (({f} - t + 3) % 3 < n % 3)::int as l{f}" for f in range(3))}
+      from turns)
+    select o_orderkey, o_custkey, case when rk <= l0 then 0 when rk <= l0 + l1 then 1 else 2 end::int
+      as fold from (select o_orderkey, o_custkey,
+      row_number() over (partition by o_custkey order by {DIGEST}) as rk from orders)
+      join lengths on g = o_custkey""",
+)
+def _(spark, folder):
+    split = folds(table(spark, folder, "orders"), ["o_orderkey"], by="o_custkey")
+    return split.select("o_orderkey", "o_custkey", "fold")

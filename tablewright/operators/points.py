@@ -84,17 +84,23 @@ def over_block_pairs(
 
 def dense_numbers(df: DataFrame, name: str, out: str) -> DataFrame:
     """Add 0-based positions in the order of a unique column, without one task sorting it all."""
+    return running_sums(df.withColumn("_one", F.lit(1).cast("bigint")), name, "_one", out).drop("_one")
+
+
+def running_sums(df: DataFrame, name: str, value: str, out: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before, in the order of a unique column, without one task sorting it all."""
     placed = cut_lineage(
         df.repartitionByRange(F.col(name)).withColumn("_part", F.spark_partition_id())
     )
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    sums = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
     # One row per partition.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(name))
+    offsets = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    earlier = Window.partitionBy("_part").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(earlier), F.lit(0))
     return (
         placed.withColumn("_inside", inside)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(out, (F.col("_before") + F.col("_inside") - 1).cast("bigint"))
+        .withColumn(out, (F.col("_before") + F.col("_inside")).cast("bigint"))
         .drop("_part", "_inside", "_before")
     )

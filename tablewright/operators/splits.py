@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.expressions import col, order_key, row_digest
-from tablewright.types import LIMITS, SEED, ConfigError
+from tablewright.types import LIMITS, SEED
 
 # A prefix group with at most this many rows is ranked by whole digests.
 _RANK_ROWS = 200_000
 _PREFIX_STEP = 3
+# More characters than any digest has.
+_WHOLE = 128
 # Copies of one row that a single task writes out.
 _COPIES_PER_TASK_ROW = 10_000
 
@@ -53,7 +55,7 @@ def find_cuts(df: DataFrame, digest: Column, ranks: dict[str, list[int]], group:
         ).where(F.col("g").isin([g for g in ranks])).collect()}
     while active:
         whole = width >= 30 or max(sizes[(g, p)] for g, _, p, _ in active) <= _RANK_ROWS
-        step = 64 if whole else width + _PREFIX_STEP
+        step = _WHOLE if whole else width + _PREFIX_STEP
         parents = spark.createDataFrame(
             sorted({(g, p) for g, _, p, _ in active}), "g string, parent string"
         )
@@ -165,19 +167,6 @@ def _count_off(df, names, cuts, digest, content, group, name) -> DataFrame:
     return numbered.withColumn(name, segment).select(*[col(n) for n in names], name)
 
 
-def group_sizes(df: DataFrame, by: str | None = None) -> dict[str, int]:
-    """Rows per class as text, in the classes' natural order; {'all': n} without a class."""
-    if by is None:
-        return {"all": df.count()}
-    sizes = df.groupBy(col(by).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.orderBy("label").limit(LIMITS.max_classes + 1).select(
-        F.col("label").cast("string").alias("label"), "n"
-    ).collect()
-    if len(rows) > LIMITS.max_classes:
-        raise ConfigError(f"A stratified split takes at most {LIMITS.max_classes} classes.")
-    return {r["label"]: r["n"] for r in rows}
-
-
 def test_quotas(sizes: dict[str, int], fraction: float = LIMITS.test_fraction) -> dict[str, int]:
     """Test rows per class: proportional, largest remainders first, ceil(fraction * n) in all."""
     n = sum(sizes.values())
@@ -190,25 +179,10 @@ def test_quotas(sizes: dict[str, int], fraction: float = LIMITS.test_fraction) -
     return quota
 
 
-def fold_bounds(sizes: dict[str, int], folds: int = LIMITS.folds) -> dict[str, list[tuple[int, int]]]:
-    """Per class the (upper rank, fold) of each fold's range.
-
-    The rows left over by the division go to consecutive folds across classes, so that the whole
-    folds differ by at most one row too.
-    """
-    bounds, turn = {}, 0
-    for g, size in sizes.items():
-        base, extra = divmod(size, folds)
-        lengths = [base] * folds
-        for i in range(extra):
-            lengths[(turn + i) % folds] += 1
-        turn = (turn + extra) % folds
-        upper, ranges = 0, []
-        for fold, length in enumerate(lengths):
-            upper += length
-            ranges.append((upper, fold))
-        bounds[g] = ranges
-    return bounds
+def fold_ends(rows: int, n_folds: int) -> list[int]:
+    """The last rank of every fold but the last; sizes differ by at most one row, the first ones are longer."""
+    base, extra = divmod(rows, n_folds)
+    return [base * (f + 1) + min(f + 1, extra) for f in range(n_folds - 1)]
 
 
 def holdout(
@@ -218,14 +192,17 @@ def holdout(
     fraction: float = LIMITS.test_fraction,
     seed: int = SEED,
 ) -> DataFrame:
-    """Add ``is_test``: exactly ceil(fraction * n) rows, per class in proportion if ``by``."""
-    quota = test_quotas(group_sizes(df, by), fraction)
-    ranks = {g: [q] for g, q in quota.items() if q}
-    split = assign_segments(df, ranks, key, seed, by, "_segment")
-    boundary = F.lit(len(ranks) > 0)
+    """Add ``is_test``: exactly ceil(fraction * n) rows, per class in proportion if ``by``, however many classes."""
     if by:
-        boundary = col(by).cast("string").isin(list(ranks)) if ranks else F.lit(False)
-    return split.withColumn("is_test", (F.col("_segment") == 0) & boundary).drop("_segment")
+        from tablewright.operators import strata
+
+        bounds = strata.quotas(strata.class_sizes(df, by), fraction)
+        bounds = bounds.select("g", "n", F.array("quota").alias("ends"))
+        split = strata.assign(df, bounds, key, seed, by, "_segment")
+        return split.withColumn("is_test", F.col("_segment") == 0).drop("_segment")
+    quota = math.ceil(round(fraction * df.count(), 9))
+    split = assign_segments(df, {"all": [quota]} if quota else {}, key, seed, None, "_segment")
+    return split.withColumn("is_test", (F.col("_segment") == 0) & F.lit(quota > 0)).drop("_segment")
 
 
 def holdout_by_threshold(
@@ -244,15 +221,14 @@ def folds(
     seed: int = SEED,
 ) -> DataFrame:
     """Add ``fold`` 0..n-1: consecutive ranges of the order, sizes within one row of each other."""
-    bounds = fold_bounds(group_sizes(df, by), n_folds)
-    ranks = {g: [upper for upper, _ in ranges[:-1]] for g, ranges in bounds.items()}
-    # A zero-length range would merge two boundaries, so segments are mapped back through ranks.
-    split = assign_segments(df, ranks, key, seed, by, "_segment")
-    fold = F.lit(0)
-    for g, ranges in bounds.items():
-        cuts = sorted({u for u, _ in ranges[:-1] if u > 0})
-        members = [next(f for u, f in ranges if u > before) for before in [0, *cuts] if before < ranges[-1][0]]
-        mapped = F.element_at(F.array(*[F.lit(m) for m in members or [0]]), F.col("_segment") + 1)
-        here = (col(by).cast("string") == g) if by else F.lit(True)
-        fold = F.when(here, mapped).otherwise(fold)
-    return split.withColumn("fold", fold.cast("int")).drop("_segment")
+    if by:
+        from tablewright.operators import strata
+
+        bounds = strata.fold_ends(strata.class_sizes(df, by), n_folds)
+        return strata.assign(df, bounds, key, seed, by, "fold")
+    ends = fold_ends(df.count(), n_folds)
+    # Ends at 0 lie before every row; ends that coincide leave a fold between them empty.
+    ranks = sorted({e for e in ends if e > 0})
+    split = assign_segments(df, {"all": ranks}, key, seed, None, "_segment")
+    passed = F.array(*[F.lit(sum(e <= (ranks[i - 1] if i else 0) for e in ends)) for i in range(len(ranks) + 1)])
+    return split.withColumn("fold", F.element_at(passed, F.col("_segment") + 1).cast("int")).drop("_segment")
