@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cache, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.catalog.registry import query, rounded, table
-from tablewright.functions.storage import scratch_path
+from tablewright.functions.storage import cut_lineage, scratch_path
 from tablewright.operators import metrics
 from tablewright.operators.clusters import (
     cluster_counts,
@@ -20,12 +21,14 @@ from tablewright.operators.clusters import (
 from tablewright.operators.dbscan import build_grid, core_points, dbscan, neighbor_counts
 from tablewright.operators.hierarchy import merge, micro_clusters
 from tablewright.operators.models import REGISTRY
+from tablewright.operators.nearest import nearest_within
 from tablewright.plans import clustering, supervised
 from tablewright.plans.profile import profile
 from tablewright.plans.results import mark_best
 from tablewright.sources.experiments import (
     assignments,
     find_experiment,
+    label_rows,
     load_model,
     save_experiment,
 )
@@ -494,6 +497,51 @@ def _(spark, folder):
     return reduce(DataFrame.unionByName, sizes)
 
 
+NEW_ROWS_SQL = PLANE_SQL.replace("from customer)", "from customer where c_custkey % 2 = 0)", 1)
+
+
+@query(
+    "new_row_labels",
+    f"""with recursive {NEW_ROWS_SQL},
+    fresh as (select c_custkey as id, c_acctbal / 1000 as x, c_nationkey::double as y from customer where c_custkey % 2 = 1),
+    gaps as (select fresh.id, placed.label, (fresh.x - p.x) * (fresh.x - p.x) + (fresh.y - p.y) * (fresh.y - p.y) as gap
+      from fresh join plane p on abs(fresh.x - p.x) <= {EPS} and abs(fresh.y - p.y) <= {EPS} join placed on placed.id = p.id),
+    best as (select id, first(label order by gap, label) as label from gaps where gap <= {EPS}::double * {EPS}::double group by id)
+    select fresh.id, coalesce(best.label, -1)::bigint as label from fresh left join best using (id)""",
+)
+def _(spark, folder):
+    """The clustering of one half of the customers labels the other half."""
+    points = plane(spark, folder)
+    fitted = dbscan(points.where("id % 2 = 0"), EPS, MIN_SAMPLES).where("is_core")
+    cores = points.join(fitted.select("id", "label"), "id").select("x", "label")
+    return nearest_within(points.where("id % 2 = 1"), cores, EPS)
+
+
+@query(
+    "saved_cluster_labels",
+    f"""select c_custkey, count(*) over (partition by c_custkey % {GROUPS}, key) as cluster_rows, key as model_key
+    from customer, (values ('kmeans'), ('agglomerative_clustering')) t(key)""",
+)
+def _(spark, folder):
+    """Labels of all customers, with their key, from clusterings that were fitted on two thirds of them and saved."""
+    x = (F.col("c_custkey") % GROUPS) * 1000 + F.col("c_acctbal") / 1000
+    rows = table(spark, folder, "customer").select("c_custkey", x.alias("x"), F.col("c_nationkey").cast("double").alias("y"))
+    config = TaskConfig("clustering", None, ["x", "y"], scaler="none")
+    specs = [
+        replace(s, grid={k: [v for v in values if v in (GROUPS, "ward")] for k, values in s.grid.items()})
+        for s in clustering.CLUSTERERS[:2]
+    ]
+    run = clustering.train(rows.where("c_custkey % 3 > 0"), config, models=specs)
+    base = scratch_path(spark, "cluster-experiments")
+    saved_id = save_experiment(run, base, "customer")
+    tables = [
+        label_rows(spark, base, saved_id, s.key, rows, ["c_custkey"]).withColumn("model_key", F.lit(s.key)) for s in specs
+    ]
+    labels = cut_lineage(reduce(DataFrame.unionByName, tables))
+    sizes = labels.groupBy("model_key", "label").agg(F.count(F.lit(1)).alias("cluster_rows"))
+    return labels.join(sizes, ["model_key", "label"]).select("c_custkey", "cluster_rows", "model_key")
+
+
 @query("cluster_projection")
 def _(spark, folder):
     return trained(spark, folder, "clustering").outcome("kmeans").charts["pca_projection"]

@@ -23,6 +23,8 @@ from tablewright.operators.points import dense_numbers, squared_distance
 _LOOKUP_DIMENSIONS = 3
 # A cell with more points is spread over several tasks when others are compared with it.
 _SALT_ROWS = 500_000
+# Crowded cells up to which their counted table is broadcast.
+_FEW_CELLS = 100_000
 
 
 @dataclass
@@ -55,8 +57,10 @@ def build_grid(points: DataFrame, eps: float) -> Grid:
         .withColumn("salts", F.ceil(F.col("size") / _SALT_ROWS).cast("int"))
     )
     crowded = cells.where(F.col("salts") > 1).select("cell", "salts")
-    # At most (all points / _SALT_ROWS) rows.
-    placed = celled.join(F.broadcast(crowded), "cell", "left").withColumn(
+    # At most (all points / _SALT_ROWS) rows; sent to every task while they are few.
+    if crowded.count() <= _FEW_CELLS:
+        crowded = F.broadcast(crowded)
+    placed = celled.join(crowded, "cell", "left").withColumn(
         "salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")
     )
     near = cut_lineage(_near_cells(cells.select("cell"), d, lookup))

@@ -118,16 +118,16 @@ def _starts(points: DataFrame, wanted: Sequence[tuple[int, int]], seed: int) ->
         found = [np.vstack([c, np.array(more[i])]) if i in more else c for i, c in enumerate(found)]
     weights = _nearest_weights(points, found)
     return [
-        _spread_out(np.unique(c, axis=0, return_index=True)[1], c, weights[i], k, salts[i])
-        for i, (c, (k, _)) in enumerate(zip(found, wanted))
+        _spread_out(c, weights[i], k, salts[i]) if c.size else c for i, (c, (k, _)) in enumerate(zip(found, wanted))
     ]
 
 
-def _spread_out(order, candidates: np.ndarray, weights: np.ndarray, k: int, salt: int) -> np.ndarray:
+def _spread_out(candidates: np.ndarray, weights: np.ndarray, k: int, salt: int) -> np.ndarray:
     """k of the candidates, each next one drawn by its weight times its squared distance to those before."""
     draws = np.random.default_rng(salt)
-    kept = candidates[np.sort(order)]
-    mass = weights[np.sort(order)]
+    # In an order that does not depend on the tasks that drew them.
+    order = np.unique(candidates, axis=0, return_index=True)[1]
+    kept, mass = candidates[order], weights[order]
     chosen = [int(draws.choice(len(kept), p=mass / mass.sum()))]
     while len(chosen) < min(k, len(kept)):
         share = squared_distances(kept, kept[chosen]).min(1) * mass

@@ -16,19 +16,26 @@ from tablewright.functions.expressions import col, order_key
 from tablewright.functions.storage import cut_lineage
 from tablewright.operators.prepare import FEATURES
 
+# Columns beside the caller's own, under names that those do not have.
+_KEY, _COPIES = "__id__", "__copies__"
 # Rows of one block; a task holds the distances between two blocks.
 BLOCK_ROWS = 2048
 
 
 def points_of(rows: DataFrame, names: list[str], prepared: PipelineModel | None = None) -> DataFrame:
-    """Collapse equal rows and number them by content, so copies never make a group hot."""
-    grouped = rows.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias("w"))
-    keyed = grouped.withColumn("id", order_key(names))
+    """Collapse equal rows and number them by content, so copies never make a group hot.
+
+    ``prepared`` scales them; if it also predicts, the prediction comes along. The columns may have any names.
+    """
+    grouped = rows.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias(_COPIES))
+    keyed = grouped.withColumn(_KEY, order_key(names))
+    named = [F.col(_KEY).alias("id"), F.col(_COPIES).alias("w")]
     if prepared is None:
         x = F.array(*[col(n).cast("double") for n in names])
-        return keyed.select("id", x.alias("x"), "w", *[col(n) for n in names])
+        return keyed.select(named[0], x.alias("x"), named[1])
     vectors = prepared.transform(keyed)
-    return vectors.select("id", vector_to_array(FEATURES).alias("x"), "w", *[col(n) for n in names])
+    labels = ["prediction"] if "prediction" in vectors.columns and "prediction" not in names else []
+    return vectors.select(named[0], vector_to_array(FEATURES).alias("x"), named[1], *labels)
 
 
 def squared_distance(a: Column, b: Column) -> Column:

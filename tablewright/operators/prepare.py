@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tablewright.functions.expressions import col
 from tablewright.types import ConfigError, split_kinds
 
-FEATURES = "features"
+# Beside the caller's own columns, under a name that those do not have.
+FEATURES = "__features__"
 # More levels than this in one column would not fit the label lists on the driver.
 MAX_LEVELS = 1_000_000
 

@@ -45,11 +45,17 @@ PARALLELISM = 4
 
 @dataclass(frozen=True)
 class Fitted:
-    """A clustering tried: labelled points (id, x, w, label) and a model if it labels new rows."""
+    """A clustering tried: labelled points (id, x, w, label), and what labels new rows.
+
+    That is a model, or ``references``: points (x, label) of which the nearest one decides, if it is no further than
+    ``reach`` (any distance, if that is None).
+    """
 
     params: dict[str, Any]
     labelled: DataFrame
     model: object | None = None
+    references: DataFrame | None = None
+    reach: float | None = None
 
 
 @dataclass(frozen=True)
@@ -93,7 +99,8 @@ def _fit_hierarchy(points: DataFrame, n: int, combos: list[dict[str, Any]], micr
         if clusters is None:
             yield params, ValueError("fewer points than clusters")
         else:
-            yield Fitted(params, labels_for(micro, clusters))
+            centres = micro.summary.join(clusters, "label").select(F.col("centroid").alias("x"), F.col("cluster").alias("label"))
+            yield Fitted(params, labels_for(micro, clusters), references=centres)
 
 
 def _fit_dbscan(points: DataFrame, n: int, combos: list[dict[str, Any]], parallelism: int = PARALLELISM):
@@ -104,8 +111,10 @@ def _fit_dbscan(points: DataFrame, n: int, combos: list[dict[str, Any]], paralle
         for params in (p for p in combos if p["eps"] == eps):
             try:
                 grid = grid or build_grid(points, eps)
-                labels = dbscan(points, eps, params["min_samples"], grid).drop("is_core")
-                found.append(Fitted(params, cut_lineage(points.select("id", "x", "w").join(labels, "id"))))
+                labels = dbscan(points, eps, params["min_samples"], grid)
+                labelled = cut_lineage(points.select("id", "x", "w").join(labels, "id"))
+                core = labelled.where("is_core").select("x", "label")
+                found.append(Fitted(params, labelled.drop("is_core"), references=core, reach=eps))
             except PySparkException as exc:
                 found.append((params, exc))
         return found
@@ -258,6 +267,8 @@ def _outcome(attempt, search, best, metrics, labelled, prepared, plane) -> Model
         charts=charts,
         search=search,
         assignments=mine.select("id", "w", "label"),
+        references=found.references,
+        reach=found.reach,
     )
 
 

@@ -38,6 +38,8 @@ class ModelOutcome:
     charts: dict[str, DataFrame] = field(default_factory=dict)
     search: list[tuple[dict[str, str], float | None]] = field(default_factory=list)
     assignments: DataFrame | None = None
+    references: DataFrame | None = None
+    reach: float | None = None
 
 
 @dataclass

@@ -11,6 +11,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.expressions import all_present, col, order_key
+from tablewright.functions.storage import cut_lineage
+from tablewright.operators.nearest import nearest_reference, nearest_within
+from tablewright.operators.points import points_of
 from tablewright.plans.profile import TABLES, Profile
 from tablewright.plans.results import Run
 from tablewright.plans.supervised import score
@@ -26,7 +30,8 @@ NOTES = {
     ),
     "clustering": (
         "K-Means labels new rows. Agglomerative clustering and DBSCAN only label the rows they "
-        "were fitted on; those labels are in the assignments table."
+        "were fitted on; those labels are in the assignments table. On request, other rows get the "
+        "label of the nearest micro-cluster, or of the nearest core point within reach."
     ),
 }
 # Clusterings whose pipeline cannot label rows it has not seen.
@@ -49,6 +54,9 @@ def save_experiment(run: Run, base: str, dataset: str, profile: Profile | None =
             _append(table, f"{base}/charts/{chart}", experiment_id, outcome.key)
         if outcome.assignments is not None:
             _append(outcome.assignments, f"{base}/assignments", experiment_id, outcome.key)
+        if outcome.references is not None:
+            marked = outcome.references.withColumn("reach", F.lit(outcome.reach).cast("double"))
+            _append(marked, f"{base}/references", experiment_id, outcome.key)
     records = experiment_records(run, experiment_id, dataset)
     ranked = run.importance().withColumnRenamed("key", "model_key")
     ranked.withColumn("experiment_id", F.lit(experiment_id)).write.mode("append").parquet(
@@ -145,6 +153,40 @@ def assignments(spark: SparkSession, base: str, experiment_id: str, key: str) ->
     return table.where(mine).select("id", "w", "label")
 
 
+def label_rows(
+    spark: SparkSession, base: str, experiment_id: str, key: str, rows: DataFrame, columns: list[str]
+) -> DataFrame:
+    """``columns`` of every row, and ``label``: the cluster that the saved clustering gives it.
+
+    Rows with the features of a fitted row have that row's label. Others are labelled by the model (K-Means), by the
+    nearest micro-cluster (agglomerative clustering), or by the nearest core point within eps, else as noise
+    (DBSCAN). Rows with a missing feature have no label.
+    """
+    record = find_experiment(spark, base, experiment_id).where(F.col("model_key") == key).first()
+    if record is None or record["status"] != "success" or record["task"] != CLUSTERING:
+        raise ExperimentError(f"Experiment '{experiment_id}' has no successful clustering '{key}'.")
+    features = list(record["features"])
+    # Equal rows are labelled once.
+    distinct = points_of(rows.where(all_present(features)), features, load_model(spark, base, experiment_id, key))
+    distinct = cut_lineage(distinct.select("id", "x", *(["prediction"] if key == "kmeans" else [])))
+    if key == "kmeans":
+        found = distinct.select("id", F.col("prediction").cast("bigint").alias("label"))
+    else:
+        own = assignments(spark, base, experiment_id, key).select("id", "label")
+        fitted = distinct.join(own, "id").select("id", "label")
+        strange = distinct.join(own, "id", "left_anti")
+        place = f"{base.rstrip('/')}/references/experiment_id={experiment_id}/model_key={key}"
+        references = spark.read.parquet(place)
+        reach = references.select(F.max("reach")).first()[0]
+        near = nearest_reference(strange, references) if reach is None else nearest_within(strange, references, reach)
+        found = fitted.unionByName(near)
+    labels = found.select(F.col("id").alias("_id"), "label")
+    # The digest of a row with a missing feature would be that of another row.
+    place = F.when(all_present(features), order_key(features))
+    keyed = rows.select(*[col(c).alias(f"k{i}") for i, c in enumerate(columns)], place.alias("_id"))
+    return keyed.join(labels, "_id", "left").drop("_id").toDF(*columns, "label")
+
+
 def read_chart(spark: SparkSession, base: str, experiment_id: str, key: str, chart: str) -> DataFrame:
     """The points of one saved chart of one model."""
     find_experiment(spark, base, experiment_id)

@@ -17,6 +17,7 @@ from tablewright.operators.clusters import (
 )
 from tablewright.operators.components import connected_components
 from tablewright.operators.hierarchy import labels_for, merge, micro_clusters
+from tablewright.operators.nearest import nearest_reference, nearest_within
 from tablewright.operators.points import dense_numbers, over_block_pairs, points_of
 from tablewright.plans import clustering
 from tablewright.types import ConfigError, TaskConfig
@@ -365,3 +366,24 @@ def test_grid_order():
         {"n_clusters": 3, "linkage": "ward"},
     ]
     assert len(clustering.CLUSTERERS[2].combinations()) == 15
+
+
+def test_new_rows_get_the_nearest_label(spark):
+    rng = np.random.default_rng(2)
+    known, labels = rng.uniform(-2, 2, (50, 4)).round(1), rng.integers(0, 5, 50)
+    asked = np.vstack([rng.uniform(-2.5, 2.5, (60, 4)).round(1), known[:5]])
+    references = frame(spark, known, labels).select("x", "label")
+    gap = ((asked[:, None] - known[None]) ** 2).sum(-1)
+    best = [min(zip(row.round(9), labels.tolist())) for row in gap]
+    got = {r["id"]: r["label"] for r in nearest_reference(frame(spark, asked), references).collect()}
+    assert [got[i] for i in range(len(asked))] == [b[1] for b in best]
+    within = {r["id"]: r["label"] for r in nearest_within(frame(spark, asked), references, 0.9).collect()}
+    assert [within[i] for i in range(len(asked))] == [b[1] if b[0] <= 0.81 else -1 for b in best]
+    assert {-1} < set(within.values())
+    for found in (nearest_reference(frame(spark, asked), references.limit(0)), nearest_within(frame(spark, asked), references.limit(0), 1.0)):
+        assert {r["label"] for r in found.collect()} == {-1}
+
+
+def test_points_of_columns_called_like_theirs(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 2.0, 3.0), (4.0, 5.0, 6.0)], "x double, id double, w double")
+    assert sorted((r["x"], r["w"]) for r in points_of(df, ["x", "id", "w"]).collect()) == [([1.0, 2.0, 3.0], 2), ([4.0, 5.0, 6.0], 1)]

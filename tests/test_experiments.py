@@ -11,6 +11,7 @@ from tablewright.sources.experiments import (
     as_json,
     assignments,
     find_experiment,
+    label_rows,
     load_model,
     read_chart,
     read_importances,
@@ -99,6 +100,22 @@ def test_clusterings_label_new_rows_only_if_they_can(spark, parts, tmp_path):
     assert kept.agg(F.sum("w")).first()[0] == run.train_rows
     with pytest.raises(ExperimentError, match="fitted on"):
         score_rows(spark, str(tmp_path), experiment_id, "agglomerative_clustering", rows)
+    keyed = parts.select("p_partkey", "p_size", "p_retailprice")
+    fresh = spark.createDataFrame([(-1, 25, 1000.5), (-2, None, 1.0), (-1, 25, 1000.5)], keyed.schema)
+    own = kept.count()
+    for key in ("kmeans", "agglomerative_clustering"):
+        found = label_rows(spark, str(tmp_path), experiment_id, key, keyed.unionByName(fresh), ["p_partkey"])
+        labels = {}
+        for r in found.collect():
+            labels.setdefault(r["p_partkey"], []).append(r["label"])
+        assert len(labels) == keyed.count() + 2 and labels[-2] == [None]
+        assert len(labels[-1]) == 2 and labels[-1][0] == labels[-1][1] in (0, 1)
+        if key != "kmeans":
+            held = {r["label"]: r["n"] for r in kept.groupBy("label").agg(F.sum("w").alias("n")).collect()}
+            counts = [sum(v == [c] for k, v in labels.items() if k >= 0) for c in (0, 1)]
+            assert own and counts == [held[0], held[1]]
+    with pytest.raises(ExperimentError, match="no successful clustering"):
+        label_rows(spark, str(tmp_path), experiment_id, "dbscan", keyed, ["p_partkey"])
 
 
 def test_tables_read_back(spark, saved, parts, tmp_path):

@@ -3,6 +3,7 @@ import pytest
 from pyspark.ml import PipelineModel
 
 from tablewright.operators.prepare import (
+    FEATURES,
     check_levels,
     feature_names,
     fit_features,
@@ -22,7 +23,7 @@ def df(spark):
 
 
 def slots(model, df):
-    return np.array([r["features"].toArray() for r in model.transform(df).collect()])
+    return np.array([r[FEATURES].toArray() for r in model.transform(df).collect()])
 
 
 def test_standard_scaling_uses_the_population_deviation(df):
@@ -68,3 +69,9 @@ def test_wide_features(df):
 def test_too_many_levels(df):
     with pytest.raises(ConfigError, match="region"):
         check_levels(df, ["region", "vip"], limit=2)
+
+
+def test_columns_may_be_called_like_our_own(spark):
+    df = spark.createDataFrame([(float(i), i % 3, "ab"[i % 2]) for i in range(6)], "features double, prediction int, x string")
+    fitted = fit_features(df, ["features", "prediction", "x"], "none")
+    assert slots(fitted, df).tolist() == [[float(i), i % 3, i % 2 == 0, i % 2 == 1] for i in range(6)]

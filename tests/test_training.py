@@ -8,12 +8,13 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tablewright.operators.models import REGISTRY, InverseStrengthLogisticRegression, ModelSpec
+from tablewright.operators.models import LABEL, PREDICTION, REGISTRY, InverseStrengthLogisticRegression, ModelSpec
+from tablewright.operators.prepare import FEATURES
 from tablewright.plans.supervised import fit_one, score, train
 from tablewright.types import ConfigError, TaskConfig
 
 SEEN = []
-COLUMNS = {"featuresCol": "features", "labelCol": "_label", "predictionCol": "_prediction"}
+COLUMNS = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION}
 
 
 class Spy(Estimator):
