@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.catalog.profiling import LABELLED_SQL, labelled_documents
 from tablewright.catalog.registry import query, rounded, table
+from tablewright.operators.levels import encode, fit_slots
 from tablewright.operators.clean import clean, row_accounting, target_issues
 from tablewright.operators.prepare import scaled, wide_features
 from tablewright.operators.splits import folds, holdout, holdout_by_threshold
@@ -293,3 +294,33 @@ def _(spark, folder):
 def _(spark, folder):
     split = folds(table(spark, folder, "orders"), ["o_orderkey"], by="o_custkey")
     return split.select("o_orderkey", "o_custkey", "fold")
+
+
+_SLOTS = """levels as (select 0 as c, o_orderstatus as level from orders union select 1, o_custkey::varchar from orders),
+    placed as (select *, row_number() over (order by c, level) as slot from levels)"""
+
+
+@query(
+    "one_hot_slots",
+    f"""with {_SLOTS}, m as (select avg(o_totalprice) as m, stddev_pop(o_totalprice) as s from orders)
+    select o_orderkey, (select count(*) from placed) + 1 as size, concat_ws(',', 0, a.slot, b.slot) as indices,
+      round((o_totalprice - m) / s, 8) as price
+    from orders, m, placed a, placed b where a.c = 0 and a.level = o_orderstatus and b.c = 1 and b.level = o_custkey::varchar""",
+)
+def _(spark, folder):
+    """Sparse entries where one column has a level per customer."""
+    orders = table(spark, folder, "orders").withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    slots = fit_slots(orders, ["o_orderstatus", "o_totalprice", "o_custkey"], "standard")
+    found = encode(orders, slots, ["o_orderkey"])
+    indices = F.array_join(F.transform("indices", lambda i: i.cast("string")), ",")
+    return rounded(found.select("o_orderkey", "size", indices.alias("indices"), F.col("values")[0].alias("price")), 8)
+
+
+@query(
+    "one_hot_names",
+    f"""with {_SLOTS} select 0::bigint as slot, 'o_totalprice' as name from (select count(*) from orders)
+    union all select slot, case c when 0 then 'o_orderstatus_' else 'o_custkey_' end || level from placed""",
+)
+def _(spark, folder):
+    orders = table(spark, folder, "orders").withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    return fit_slots(orders, ["o_orderstatus", "o_totalprice", "o_custkey"]).names()

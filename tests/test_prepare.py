@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 
+from tablewright.operators.levels import encode, fit_slots
 from tablewright.operators.prepare import (
     FEATURES,
     check_levels,
@@ -75,3 +76,29 @@ def test_columns_may_be_called_like_our_own(spark):
     df = spark.createDataFrame([(float(i), i % 3, "ab"[i % 2]) for i in range(6)], "features double, prediction int, x string")
     fitted = fit_features(df, ["features", "prediction", "x"], "none")
     assert slots(fitted, df).tolist() == [[float(i), i % 3, i % 2 == 0, i % 2 == 1] for i in range(6)]
+
+
+def test_slots_are_those_of_the_pipeline(spark, df):
+    slotted = fit_slots(df, ["region", "age", "vip", "in.come"], "standard")
+    fitted = fit_features(df, ["region", "age", "vip", "in.come"], "standard")
+    assert [r["name"] for r in slotted.names().orderBy("slot").collect()] == feature_names(["age", "in.come"], ["region", "vip"], fitted)
+    found = np.zeros((5, slotted.size))
+    rows = encode(df, slotted, ["age"]).collect()
+    for n, r in enumerate(sorted(rows, key=lambda r: [x["age"] for x in df.collect()].index(r["age"]))):
+        found[n, r["indices"]] = r["values"]
+        assert r["indices"] == sorted(r["indices"]) and r["size"] == slotted.size
+    assert np.allclose(found, slots(fitted, df))
+
+
+def test_slots_of_unseen_missing_and_very_many_levels(spark):
+    df = spark.range(200_000).selectExpr("id", "concat('level ', id) as name", "if(id % 2 = 0, 'hot', null) as part")
+    slotted = fit_slots(df, ["name", "part"])
+    assert slotted.size == 200_001 and slotted.numeric == []
+    found = encode(df, slotted, ["id"])
+    sizes = found.selectExpr("size(indices) as n").groupBy("n").count().collect()
+    assert sorted(map(tuple, sizes)) == [(1, 100_000), (2, 100_000)]
+    assert found.selectExpr("count(distinct indices[0])").first()[0] == 200_000
+    strange = spark.createDataFrame([(1, "new", None), (2, None, "hot")], "id bigint, name string, part string")
+    assert {r["id"]: r["indices"] for r in encode(strange, slotted, ["id"]).collect()} == {1: [], 2: [200_000]}
+    empty = fit_slots(df.limit(0), ["name"])
+    assert empty.size == 0 and empty.names().count() == 0 and encode(df.limit(0), empty, ["id"]).count() == 0
