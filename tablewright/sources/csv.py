@@ -7,6 +7,8 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,8 +172,8 @@ def read_csv(
 
     Rows with too many fields, unclosed quotes or invalid bytes reject the input, and so do files whose
     headers differ; short rows are padded with missing values. ``schema`` replaces the inferred types.
-    Files without line breaks inside quotes are split into many tasks; with them, each file is one task.
-    ``multiline`` says which it is, instead of a look at the quotes.
+    Files are split into many tasks, also where there are line breaks inside quotes, which take one more pass.
+    ``multiline`` says whether there are, instead of a look at the quotes. Such a break counts as one line feed.
     """
     if not path.rstrip("/").lower().endswith(".csv"):
         raise IngestError("Only .csv files can be read as CSV.")
@@ -189,7 +191,7 @@ def read_csv(
         .schema("value string, _bad string")
     )
     if look.spanning if multiline is None else multiline:
-        lines = _records(spark, path, names)
+        lines = _records(spark, path)
     else:
         lines = raw.csv(path).select(F.coalesce("_bad", "value").alias("value"))
     audited = audit_lines(lines, names)
@@ -211,19 +213,113 @@ def read_csv(
     return apply_types(texts, types)
 
 
-def _records(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Whole records, quoted line breaks included, put back into text form."""
-    schema = ", ".join(f"f{i} string" for i in range(len(names))) + ", _bad string"
-    rows = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("columnNameOfCorruptRecord", "_bad")
-        .schema(schema)
-        .csv(path)
+# Complete fields, then a quote that opens a field and is not closed up to the end of the line.
+_OPEN = r'^(?:"[^"]*+(?:""[^"]*+)*+"[^,]*+,|[^",][^,]*+,|,)*+"[^"]*+(?:""[^"]*+)*+$'
+
+
+def _ends(opened: np.ndarray, stayed: np.ndarray, start: bool) -> np.ndarray:
+    """Whether each of a block's lines ends inside quotes, if the block begins inside (``start``) or outside.
+
+    ``opened`` and ``stayed`` say how a line ends that begins outside or inside. Lines for which both agree settle the
+    question; behind the last of them, each line that turns one into the other counts.
+    """
+    settled = np.flatnonzero(opened == stayed)
+    turns = np.cumsum(opened & ~stayed)
+    last = np.searchsorted(settled, np.arange(len(opened)), side="right") - 1
+    known = last >= 0
+    at = settled[np.maximum(last, 0)] if len(settled) else np.zeros(len(opened), np.int64)
+    begun = np.where(known, opened[at], start)
+    return begun ^ ((turns - np.where(known, turns[at], 0)) % 2 == 1)
+
+
+def _blocks_of(batches):
+    """(file, block, columns of all its lines): what a task reads of one block lies together."""
+    held, rows = None, []
+    for batch in batches:
+        files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
+        edges = [0, *[i for i in range(1, len(files)) if (files[i], blocks[i]) != (files[i - 1], blocks[i - 1])], len(files)]
+        for start, end in zip(edges, edges[1:]):
+            if end == start:
+                continue
+            if held is not None and held != (files[start], blocks[start]):
+                yield *held, pa.Table.from_batches(rows)
+                rows = []
+            held = (files[start], blocks[start])
+            rows.append(batch.slice(start, end - start))
+    if held is not None:
+        yield *held, pa.Table.from_batches(rows)
+
+
+def _flags(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(table.column(n).to_numpy().astype(bool) for n in ("opened", "stayed"))
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Whole records, quoted line breaks included, without the header of each file; read in blocks.
+
+    A first pass sums up every block: how it ends, and whether a record begins in it, for both ways it can begin. From
+    these, one row per block as Spark's own list of splits, follows how each does begin. The second pass puts
+    the lines of a record together; only records that reach over the end of a block are exchanged.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        "value",
+        F.col("value").rlike(_OPEN).alias("opened"),
+        F.concat(F.lit('"'), "value").rlike(_OPEN).alias("stayed"),
     )
-    again = F.to_csv(F.struct(*[f"f{i}" for i in range(len(names))]), {"escape": '"'})
-    return rows.select(F.coalesce("_bad", again).alias("value"))
+
+    def sums(batches):
+        for file, block, table in _blocks_of(batches):
+            outside, inside = (_ends(*_flags(table), start) for start in (False, True))
+            begins = bool((~inside[:-1]).any())
+            yield pa.RecordBatch.from_pydict(
+                {"file": [file], "block": [block], "outside": [bool(outside[-1])], "inside": [bool(inside[-1])], "begins": [begins]}
+            )
+
+    shape = "file string, block bigint, outside boolean, inside boolean, begins boolean"
+    found = lines.drop("value").mapInArrow(sums, shape).orderBy("file", "block").collect()
+    # (how the block begins, the block in which the record that is open there has begun)
+    known: dict[tuple[str, int], tuple[bool, int]] = {}
+    file, open_, owner = None, False, 0
+    for r in found:
+        if r["file"] != file:
+            file, open_, owner = r["file"], False, r["block"]
+        known[r["file"], r["block"]] = (open_, owner)
+        if not open_ or r["begins"]:
+            owner = r["block"]
+        open_ = r["inside"] if open_ else r["outside"]
+    states = spark.sparkContext.broadcast(known)
+
+    def records(batches):
+        for file, block, table in _blocks_of(batches):
+            start, owner = states.value[file, block]
+            after = _ends(*_flags(table), start)
+            before = np.concatenate([[start], after[:-1]])
+            # Places of the lines that begin a record; what comes before the first belongs to an earlier block's.
+            firsts = np.flatnonzero(~before).tolist()
+            texts = table.column("value").to_pylist()
+            edges = [*([0] if start else []), *firsts, len(texts)]
+            parts = ["\n".join(texts[i:j]) for i, j in zip(edges, edges[1:])]
+            owners, whole = [block] * len(parts), [True] * len(parts)
+            if start:
+                owners[0], whole[0] = owner, False
+            if after[-1]:
+                whole[-1] = False
+            if block == 0:
+                # The header.
+                parts, owners, whole = parts[1:], owners[1:], whole[1:]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file] * len(parts), pa.string()), pa.array(owners, pa.int64()),
+                 pa.array([block] * len(parts), pa.int64()), pa.array(whole, pa.bool_()), pa.array(parts, pa.string())],
+                names=["file", "owner", "block", "whole", "value"],
+            )
+
+    made = lines.mapInArrow(records, "file string, owner bigint, block bigint, whole boolean, value string")
+    listed = F.sort_array(F.collect_list(F.struct("block", "value")))
+    torn = made.where(~F.col("whole")).groupBy("file", "owner").agg(listed.alias("parts"))
+    joined = torn.select(F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"))
+    return made.where("whole").select("value").unionByName(joined)
 
 
 def summary(df: DataFrame, profile: DataFrame) -> DataFrame:

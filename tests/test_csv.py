@@ -1,7 +1,10 @@
+import random
+
+import numpy as np
 import pytest
 
 from tablewright.operators.values import columns_frame
-from tablewright.sources.csv import MISSING, preview, read_csv
+from tablewright.sources.csv import MISSING, _ends, _records, preview, read_csv
 from tablewright.types import IngestError
 
 
@@ -113,3 +116,54 @@ def test_line_breaks_inside_quotes_need_no_option(spark, write):
 def test_a_header_reports_all_its_faults(spark, write):
     with pytest.raises(IngestError, match="empty column name.*repeats column names: a"):
         read_csv(spark, write("a,,a\n1,2,3\n"))
+
+
+def quoted_rows(rng, n):
+    pieces = ["a", "b,c", 'say ""hi""', "line\nbreak", "\n\n", '""', ",", "", "é", "x\n\"\"y\"\",\nz"]
+    rows = []
+    for i in range(n):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 6)))
+        rows.append([str(i), text, rng.choice(["plain", "5\" pipe", ""])])
+    return rows
+
+
+@pytest.mark.parametrize("block", [64, 1000, 1 << 20])
+def test_quoted_line_breaks_are_read_in_blocks(spark, tmp_path, block):
+    """However the blocks fall, also inside of records and with many blocks to a record."""
+    rng = random.Random(block)
+    rows = quoted_rows(rng, 400)
+    rows[200][1] = "long\n" * 300 + "end"
+    body = [f'{i},"{text}",{tail}' for i, text, tail in rows]
+    (tmp_path / "many.csv").mkdir()
+    for part in range(2):
+        text = "\n".join(["id,text,tail", *body[part * 200 : part * 200 + 200]]) + "\n"
+        (tmp_path / "many.csv" / f"{part}.csv").write_text(text, encoding="utf-8")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        records = _records(spark, str(tmp_path / "many.csv"))
+        found = sorted(r["value"] for r in records.collect())
+        df = read_csv(spark, str(tmp_path / "many.csv"), multiline=True)
+        typed = {r["id"]: (r["text"], r["tail"]) for r in df.collect()}
+        tasks = spark.read.text(str(tmp_path / "many.csv")).rdd.getNumPartitions()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert found == sorted(body)
+    assert block > 1000 or tasks > 8
+    assert typed == {
+        int(i): (text.replace('""', '"') or None, tail or None) for i, text, tail in rows
+    }
+
+
+@pytest.mark.parametrize("start", [False, True])
+def test_quotes_of_a_block_from_both_starts(start):
+    rng = np.random.default_rng(int(start))
+    for n in range(1, 30):
+        opened, stayed = rng.random(n) < 0.4, rng.random(n) < 0.6
+        state, expected = start, []
+        for o, s in zip(opened, stayed):
+            state = bool(s if state else o)
+            expected.append(state)
+        assert _ends(opened, stayed, start).tolist() == expected
