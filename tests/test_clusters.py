@@ -387,3 +387,42 @@ def test_new_rows_get_the_nearest_label(spark):
 def test_points_of_columns_called_like_theirs(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (1.0, 2.0, 3.0), (4.0, 5.0, 6.0)], "x double, id double, w double")
     assert sorted((r["x"], r["w"]) for r in points_of(df, ["x", "id", "w"]).collect()) == [([1.0, 2.0, 3.0], 2), ([4.0, 5.0, 6.0], 1)]
+
+
+@pytest.mark.parametrize("width", [2, 12])
+def test_sums_over_all_distances_in_many_blocks(spark, monkeypatch, width):
+    """Blocks meet each other in bounded tasks, and what a task sends is no more than the result."""
+    from tablewright.operators import clusters, pairs
+
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 17)
+    rng = np.random.default_rng(12)
+    # Far from the origin, with copies at different ids.
+    x = rng.normal(size=(120, width)) + 1000.0
+    x[60:70] = x[50:60]
+    labels, w = rng.integers(-1, 4, 120), rng.integers(1, 4, 120)
+    labels[7] = 9
+    many, many_labels = np.repeat(x, w, axis=0), np.repeat(labels, w)
+    real = many_labels != -1
+    expected = brute_silhouette(many[real], many_labels[real])
+    found = silhouette_points(frame(spark, x, labels, w), 120).collect()
+    assert len(found) == (labels != -1).sum()
+    of = {r["id"]: r["silhouette"] for r in found}
+    # A single row is a singleton only if it has no copies.
+    ids = np.repeat(np.arange(120), w)[real]
+    assert [of[i] for i in ids] == pytest.approx(expected.tolist(), abs=1e-9)
+    away = gaps(x) * w[:, None] * w[None, :]
+    summed = clusters.cluster_distance_sums(frame(spark, x, labels, w), 120)
+    assert summed.rdd.getNumPartitions() >= 1 and summed.count() == len(set(labels.tolist())) ** 2
+    for r in summed.collect():
+        total = away[np.ix_(labels == r["label"], labels == r["other"])].sum()
+        assert r["total"] == pytest.approx(total, abs=1e-7)
+
+
+def test_ids_and_labels_that_repeat_or_are_null(spark):
+    """Rows with one id and label count as one; a null label is nobody's cluster and scores 0."""
+    rows = [(1, [0.0], 1, 0), (1, [0.0], 1, 0), (2, [1.0], 1, 0), (3, [9.0], 1, 1), (None, [8.0], 1, 1), (4, [5.0], 1, None)]
+    df = spark.createDataFrame(rows, "id bigint, x array<double>, w bigint, label bigint")
+    found = {(r["id"], r["label"]): r["silhouette"] for r in silhouette_points(df, 6).collect()}
+    # Row 1 stands twice: its two distances of 1 over two others, against two means of 9 and 8.
+    assert found[1, 0] == pytest.approx((17 - 1) / 17) and found[2, 0] == pytest.approx((7.5 - 1) / 7.5)
+    assert found[4, None] == 0.0 and len(found) == 5
