@@ -426,3 +426,23 @@ def test_ids_and_labels_that_repeat_or_are_null(spark):
     # Row 1 stands twice: its two distances of 1 over two others, against two means of 9 and 8.
     assert found[1, 0] == pytest.approx((17 - 1) / 17) and found[2, 0] == pytest.approx((7.5 - 1) / 7.5)
     assert found[4, None] == 0.0 and len(found) == 5
+
+
+def test_crowded_cells_are_not_compared_point_by_point(spark):
+    """Counts and nearest references of dense points, without a join of all of a cell's points."""
+    rng = np.random.default_rng(21)
+    x = np.round(rng.uniform(0, 1.2, (900, 2)), 2)
+    df = frame(spark, x)
+    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    grid = density.build_grid(df.drop("label"), 0.5)
+    counted = density.neighbor_counts(grid)
+    assert {r["id"]: r["neighbors"] for r in counted.collect()} == dict(enumerate((near <= 0.25).sum(1).tolist()))
+    labels = rng.integers(0, 5, 400)
+    known = frame(spark, x[:400], labels).select("x", "label")
+    asked = frame(spark, np.vstack([x[400:], [[9.0, 9.0]]])).select("id", "x")
+    found = {r["id"]: r["label"] for r in nearest_within(asked, known, 0.5).collect()}
+    gap = near[400:, :400]
+    best = [min(labels[g == g.min()]) for g in gap]
+    assert [found[i] for i in range(500)] == best and found[500] == -1
+    plan = counted._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan
