@@ -5,12 +5,12 @@ import pytest
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from tablewright.operators.models import LABEL, PREDICTION, REGISTRY, InverseStrengthLogisticRegression, ModelSpec
 from tablewright.operators.prepare import FEATURES
-from tablewright.plans.supervised import fit_one, score, train
+from tablewright.plans.supervised import fit_one, fitting_tasks, score, train
 from tablewright.types import ConfigError, TaskConfig
 
 SEEN = []
@@ -183,3 +183,29 @@ def test_saved_pipeline_predicts_the_same(houses, tmp_path):
     again = PipelineModel.load(f"{tmp_path}/m")
     a, b = (score(m, houses).select("area", F.round("prediction", 6)) for m in (model, again))
     assert a.exceptAll(b).count() == 0
+
+
+def test_a_large_table_of_one_partition_is_fitted_in_several_tasks(spark, monkeypatch):
+    """120,000 rows from a file with one row group: the split, the folds and the fits do not stay in one task."""
+    df = spark.range(0, 120_000, 1, 1).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    tasks = []
+    fit = LinearRegression._fit
+    monkeypatch.setattr(LinearRegression, "_fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    config = TaskConfig("regression", "y", ["x"], drop_duplicates=False)
+    run = train(df, config, key=["x"], models=only("regression", "linear_regression"))
+    assert (run.train_rows, run.test_rows, tasks) == (96_000, 24_000, [3])
+
+
+def test_tasks_of_a_fit_grow_with_its_rows():
+    assert [fitting_tasks(n) for n in (0, 50_000, 50_001, 120_000, 1_200_000, 7_200_000)] == [1, 1, 2, 3, 3, 18]
+    assert [fitting_tasks(n, usual=1) for n in (0, 120_000, 480_000, 7_200_000)] == [1, 1, 2, 18]
+
+
+def test_boosting_has_fewer_tasks_than_other_fits(spark, monkeypatch):
+    df = spark.range(0, 120_000, 1, 1).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    tasks = []
+    fit = GBTRegressor._fit
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    boosted = only("regression", "gbt_regressor", n_estimators=[1], max_depth=[2])
+    run = train(df, TaskConfig("regression", "y", ["x"], drop_duplicates=False), key=["x"], models=boosted)
+    assert run.outcomes[0].status == "success" and tasks == [1, 1, 1, 1]
