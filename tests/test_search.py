@@ -154,3 +154,18 @@ def test_largest_point():
     assert largest_point(forest, forest.combinations()) == {"max_depth": 30, "n_estimators": 100}
     boosted = spec("regression", "gbt_regressor")
     assert largest_point(boosted, boosted.combinations()[:2]) == {"max_depth": 3, "n_estimators": 100}
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_nodes_are_read_as_columns(rows, monkeypatch, classes):
+    df = prepared(rows, "c" if classes else "y")
+    made = RandomForestClassifier if classes else RandomForestRegressor
+    model = made(numTrees=4, maxDepth=6, seed=42, **COLUMNS).fit(df)
+
+    def by_rows(self):
+        raise AssertionError("millions of nodes, one by one")
+
+    monkeypatch.setattr(type(df), "toPandas", by_rows)
+    assert (predictions(df, model, [Part(4)], classes)[0] == direct(df, model)).all() if classes else np.allclose(
+        predictions(df, model, [Part(4)])[0], direct(df, model)
+    )
