@@ -1,3 +1,4 @@
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -209,3 +210,29 @@ def test_boosting_has_fewer_tasks_than_other_fits(spark, monkeypatch):
     boosted = only("regression", "gbt_regressor", n_estimators=[1], max_depth=[2])
     run = train(df, TaskConfig("regression", "y", ["x"], drop_duplicates=False), key=["x"], models=boosted)
     assert run.outcomes[0].status == "success" and tasks == [1, 1, 1, 1]
+
+
+class Waiting(Estimator):
+    """Linear regression whose fit begins once another model's has begun, too."""
+
+    def __init__(self, mine: threading.Event, other: threading.Event):
+        super().__init__()
+        self.mine, self.other = mine, other
+
+    def _fit(self, dataset):
+        self.mine.set()
+        if not self.other.wait(60):
+            raise RuntimeError("The other model waits for this one.")
+        return LinearRegression(**COLUMNS).fit(dataset)
+
+
+def test_models_are_searched_side_by_side(spark):
+    a, b = threading.Event(), threading.Event()
+    models = [
+        ModelSpec("one", "One", lambda k: Waiting(a, b), {}),
+        ModelSpec("two", "Two", lambda k: Waiting(b, a), {}),
+    ]
+    config = TaskConfig("regression", "price", ["area"], drop_duplicates=False)
+    rows = spark.range(60).select(F.col("id").cast("double").alias("area"), (F.col("id") * 2.0).alias("price"))
+    run = train(rows, config, models=models, parallelism=2)
+    assert [(o.key, o.status) for o in run.outcomes] == [("one", "success"), ("two", "success")]
