@@ -2,6 +2,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import dbscan as density
 from tablewright.operators import kmeans
@@ -446,3 +447,26 @@ def test_crowded_cells_are_not_compared_point_by_point(spark):
     assert [found[i] for i in range(500)] == best and found[500] == -1
     plan = counted._jdf.queryExecution().toString()
     assert "MapInArrow" in plan
+
+
+def test_points_that_compress_well_are_not_broadcast(spark):
+    """Copies take few bytes when they are exchanged: neither side of many rows may be sent to every task for that."""
+    few = [([float(i % 40), 0.0], i % 40) for i in range(40)]
+    known = spark.createDataFrame(few, "x array<double>, label bigint").crossJoin(spark.range(100)).drop("id")
+    asked = spark.range(20_000).select("id", F.array((F.col("id") % 40).cast("double") + 0.1, F.lit(0.0)).alias("x"))
+    found = nearest_within(asked, known, 0.5)
+    assert found.groupBy("label").count().where("count = 500").count() == 40
+    assert found.where(F.col("label") != F.col("id") % 40).isEmpty()
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("Initial Plan")[0].splitlines() if "BroadcastHashJoin" in line or "BroadcastQueryStage" in line]
+    # The table of crowded cells has one row per cell, and nothing else goes out.
+    assert all("cell" in line for line in joins if "HashJoin" in line) and "SortMergeJoin [id" in plan
+
+
+def test_a_few_bytes_of_crowded_cells_are_dealt_to_all_tasks(spark):
+    x = np.round(np.random.default_rng(5).uniform(0, 0.2, (600, 2)), 2)
+    found = nearest_within(frame(spark, x).select("id", "x"), frame(spark, x, range(600)).select("x", "label"), 0.1)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "MapInArrow" in plan and "REPARTITION_BY_COL" not in plan
