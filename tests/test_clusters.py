@@ -470,3 +470,44 @@ def test_a_few_bytes_of_crowded_cells_are_dealt_to_all_tasks(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "MapInArrow" in plan and "REPARTITION_BY_COL" not in plan
+
+
+def test_points_travel_a_few_to_a_row_and_never_across_blocks():
+    import pyarrow as pa
+
+    from tablewright.operators import pairs
+
+    block = np.repeat([3, 5], [700, 301]).astype(np.int32)
+    x = pa.array([[float(i), 1.0] for i in range(1001)])
+    given = pa.RecordBatch.from_arrays([pa.array(block), pa.array(range(1001)), x], names=["_block", "id", "x"])
+    (packed,) = pairs._pack(iter([given]), ["id", "x"], "id")
+    assert packed.num_rows < 20 and packed.column("id").flatten().to_pylist() == list(range(1001))
+    for row in packed.to_pylist():
+        assert {block[i] for i in row["id"]} == {row["_block"]} and row["_order"] == row["id"][0]
+        assert [p[0] for p in row["x"]] == row["id"]
+
+
+def test_products_of_tiles_start_no_threads(monkeypatch):
+    from tablewright.operators import pairs
+
+    rng = np.random.default_rng(6)
+    a, b, sizes, plain = rng.normal(size=(130, 64)), rng.normal(size=(64, 1000)), [], np.matmul
+
+    def spy(p, q, out):
+        sizes.append(p.shape[0] * p.shape[1] * q.shape[1])
+        return plain(p, q, out=out)
+
+    monkeypatch.setattr(pairs.np, "matmul", spy)
+    found = pairs.product(a, b, np.empty((130, 1000)))
+    assert max(sizes) <= pairs.ONE_THREAD and np.allclose(found, a @ b)
+
+
+def test_many_points_of_one_file_are_spread_over_the_tasks(spark):
+    from tablewright.operators.points import FEW_POINTS, spread_out
+
+    n = FEW_POINTS + 1
+    points = spark.range(n).coalesce(1).select("id", F.array(F.col("id").cast("double")).alias("x"))
+    spread = spread_out(points, n)
+    sizes = spread.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == n and len([s for s in sizes if s]) == 3 and max(sizes) < n / 2
+    assert spread_out(points, FEW_POINTS) is points
